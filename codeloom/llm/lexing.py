@@ -128,5 +128,7 @@ def tokens(lang: str, text: str) -> list[str]:
 
 
 def classes(lang: str, found: list[str]) -> list[str]:
-    of = _CLASSES.setdefault(lang, _Classes(lang))
-    return [of[t] for t in found]
+    of = _CLASSES.get(lang)
+    if of is None:
+        of = _CLASSES[lang] = _Classes(lang)
+    return list(map(of.__getitem__, found))

@@ -80,7 +80,7 @@ class _Lexer:
         flat = row.replace("N", "")
         if self.lang == "java":
             row = flat
-        pairs = {a + b for a, b in zip(flat, flat[1:])} | ({"EE"} if "E" in flat else set())
+        pairs = {a + b for a, b in set(zip(flat, flat[1:]))} | ({"EE"} if "E" in flat else set())
         contents: set[str] = set()
 
         def reduce(found: re.Match) -> str:
@@ -206,7 +206,7 @@ class _PythonLexer:
         for group in contents:
             signatures.add(group[0] + _RUNS.sub(r"\1\1", group[1:-1]))
         # a line end separates: only pairs within a line count
-        pairs = {a + b for line in row.split("N") for a, b in zip(line, line[1:])} | ({"EE"} if "E" in row else set())
+        pairs = {a + b for a, b in set(zip(row, row[1:])) if a != "N" and b != "N"} | ({"EE"} if "E" in row else set())
         return sorted(pairs), sorted(signatures)
 
 
@@ -265,14 +265,13 @@ def _parses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[bad][["file_path", "lang"]]
 
 
-def distinct_files(files: DataFrame) -> DataFrame:
-    """One row per path, of the languages known: (file_path, project, lang, content).
+def known_files(files: DataFrame) -> DataFrame:
+    """(file_path, project, lang, content) of the languages known; rows without a path are dropped, a null content is empty.
 
-    Repeated rows collapse; if one path has several contents the greatest counts.  A null content is empty.
+    Repeated rows stay: judging a file twice gives the same verdict, and results name each path once.
     """
     own = files.where(F.col("file_path").isNotNull()).select("file_path", "project", F.coalesce("content", F.lit("")).alias("content"))
-    one = own.groupBy("file_path").agg(F.max("project").alias("project"), F.max("content").alias("content"))
-    return one.withColumn("lang", language(F.col("file_path"))).where(F.col("lang").isNotNull())
+    return own.withColumn("lang", language(F.col("file_path"))).where(F.col("lang").isNotNull())
 
 
 def lex(files: DataFrame) -> DataFrame:
@@ -289,16 +288,17 @@ def permissible(spark) -> DataFrame:
 def invalid_files(files: DataFrame) -> DataFrame:
     """(file_path, lang) of files that are no valid text of the language of their extension.
 
-    ``files`` has file_path, content and lang.  Empty files are valid but in Go.  Null contents count as empty;
-    files of other languages are not judged.
+    ``files`` is what ``known_files`` gives.  Empty files are valid but in Go.  A path with several contents is
+    invalid if any of them is.  Each path comes once.
     """
     lexed = pin(lex(files), "lexed")
     spark = files.sparkSession
     pairs = lexed.select("file_path", "lang", F.explode("pairs").alias("pair"))
     by_pair = pairs.join(F.broadcast(permissible(spark)), ["lang", "pair"], "left_anti").select("file_path", "lang")
     signatures = lexed.select("file_path", "lang", F.explode("signatures").alias("signature"))
-    broken = signatures.select("lang", "signature").distinct().mapInPandas(_check, "lang string, signature string")
+    kinds = signatures.select("lang", "signature").distinct().repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # a few rows, each dear to check
+    broken = kinds.mapInPandas(_check, "lang string, signature string")
     by_production = signatures.join(broken, ["lang", "signature"], "left_semi").select("file_path", "lang")
     suspects = by_pair.unionByName(by_production).distinct()
     texts = files.select("file_path", "lang", "content").join(suspects.select("file_path"), "file_path", "left_semi")
-    return texts.mapInPandas(_parses, "file_path string, lang string")
+    return texts.mapInPandas(_parses, "file_path string, lang string").distinct()
