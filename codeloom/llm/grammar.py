@@ -194,8 +194,8 @@ class Grammar:
         self.names = list(rules)
         self.letter = {n: chr(_RULE_BASE + k) for k, n in enumerate(self.names)}
         self.trees = {n: parser.parse(_REF.sub(self._reference, text)) for n, text in rules.items()}
-        self.steps = {n: self._sequence(tree) for n, tree in self.trees.items()}
         self._summaries: dict[str, tuple] = {}
+        self.steps = {n: self._sequence(tree) for n, tree in self.trees.items()}
 
     def _reference(self, found: re.Match) -> str:
         word = found[1]
@@ -227,8 +227,11 @@ class Grammar:
     def _step(self, op, arg) -> Step:
         if op is k.LITERAL and arg >= _RULE_BASE:
             name = self.names[arg - _RULE_BASE]
+            firsts, _, _, empty = self.summary(name)
 
             def rule(text: str, at: int, memo: dict) -> Ends:
+                if not empty and (at >= len(text) or text[at] not in firsts):
+                    return _NONE
                 key = (name, at)
                 known = memo.get(key)
                 if known is None:
@@ -243,8 +246,20 @@ class Grammar:
             letters_ = {chr(arg)} if op is k.LITERAL else {chr(c) for kind, c in arg if kind is k.LITERAL}
             return lambda text, at, memo: frozenset((at + 1,)) if at < len(text) and text[at] in letters_ else _NONE
         if op is k.BRANCH:
-            steps = [self._sequence(x) for x in arg[1]]
-            return lambda text, at, memo: frozenset().union(*(s(text, at, memo) for s in steps))
+            ways = [(self._summary(x), self._sequence(x)) for x in arg[1]]
+            anywhere = tuple(step for (_, _, _, empty), step in ways if empty)
+            by_first: dict[str, tuple[Step, ...]] = {}
+            for (firsts, _, _, empty), step in ways:
+                for letter in firsts if not empty else ():
+                    by_first[letter] = (*by_first.get(letter, ()), step)
+
+            def branch(text: str, at: int, memo: dict) -> Ends:
+                steps = by_first.get(text[at], ()) + anywhere if at < len(text) else anywhere
+                if len(steps) == 1:
+                    return steps[0](text, at, memo)
+                return frozenset().union(*(s(text, at, memo) for s in steps)) if steps else _NONE
+
+            return branch
         if op is k.SUBPATTERN:
             return self._sequence(arg[3])
         if op is k.ATOMIC_GROUP:
