@@ -20,6 +20,7 @@ from codeloom.llm.tokens import document_frequencies, token_table, tokenizer_pat
 from codeloom.session import pin
 
 SHARD = 2_000
+SHARDS_PER_TASK = 4
 K1, B = 1.2, 0.75
 #: A seed asks with this many of its tokens, those of the greatest weight.
 QUERY_TERMS = 24
@@ -131,7 +132,8 @@ def packed(documents: DataFrame, sizes: DataFrame, path: str | None = None) -> D
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PLACED.split(", ")])
 
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
-    return vectors.select("doc_id", "n_tokens", "ids", "counts", shard.alias("shard")).groupBy("shard").applyInPandas(run, PLACED)
+    dealt = vectors.select("doc_id", "n_tokens", "ids", "counts", shard.alias("shard")).repartition(-(-shards // SHARDS_PER_TASK), "shard")  # so that a task's share doesn't grow with the corpus
+    return dealt.groupBy("shard").applyInPandas(run, PLACED)
 
 
 def fill(placed: DataFrame, sizes: DataFrame) -> DataFrame:
