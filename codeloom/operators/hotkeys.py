@@ -14,14 +14,10 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return own.groupBy("edge_id").agg(*[F.max(c).alias(c) for c in ("source", "target", "relation", "source_file")])
 
 
-def key_counts(edges: DataFrame, key: str, shards: int) -> DataFrame:
-    """(key, n distinct edge_ids), counted in shards of the edge_id, so that no key is counted in one task."""
-    own = edges.where(F.col(key).isNotNull() & F.col("edge_id").isNotNull())
-    return balanced_aggregate(own.select(F.col(key).alias("key_value"), "edge_id"), ["key_value"], {"n": ("distinct", F.col("edge_id"))}, F.col("edge_id"), shards)
-
-
-def shard_count(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def key_counts(edges: DataFrame, key: str) -> DataFrame:
+    """(key_value, n distinct edge_ids): a key above a task's share is counted in several shards of the edge_id."""
+    own = edges.where(F.col(key).isNotNull() & F.col("edge_id").isNotNull()).select(F.col(key).alias("key_value"), "edge_id")
+    return balanced_aggregate(own, "key_value", {"n": ("distinct", F.col("edge_id"))}, F.col("edge_id"), plan_loads(own, "key_value"))
 
 
 def hot_keys(edges: DataFrame, share: float = 0.04) -> DataFrame:
@@ -30,10 +26,9 @@ def hot_keys(edges: DataFrame, share: float = 0.04) -> DataFrame:
     ``edges.target`` is measured against all edges, ``edges.source_file`` (the importing file) against the
     distinct edges of relation imports_from.  Null keys never are hot but count in the total.
     """
-    shards = shard_count(edges)
     parts = []
     for field, own in (("target", edges), ("source_file", edges.where(F.col("relation") == "imports_from"))):
-        counts = key_counts(own, field, shards)
+        counts = key_counts(own, field)
         total = own.where(F.col("edge_id").isNotNull()).select("edge_id").distinct().agg(F.count(F.lit(1)).alias("total"))
         rated = counts.crossJoin(F.broadcast(total))  # the total is one row
         parts.append(rated.where(F.col("n") >= F.col("total") * share).select(F.lit(f"edges.{field}").alias("key_field"), "key_value", F.col("n").alias("n_edges"), F.round(F.col("n") / F.col("total"), 6).alias("share")))
@@ -53,14 +48,14 @@ def target_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     known = nodes.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("target")).agg(F.min_by(F.struct("label", "project", folder.alias("folder")), seen).alias("node"))
     joined = balanced_join(own, known, "target", "left", F.col("edge_id"), plan)
     rows = joined.select("target", "node", "source", F.lit(1).alias("one"))
-    counted = balanced_aggregate(rows, ["target"], {"n_edges": ("count", F.col("one")), "n_sources": ("distinct", F.col("source")), "node": ("max", F.col("node"))}, F.col("source"), shard_count(edges))
+    counted = balanced_aggregate(rows, "target", {"n_edges": ("count", F.col("one")), "n_sources": ("distinct", F.col("source")), "node": ("max", F.col("node"))}, F.col("source"), plan)
     return counted.select("target", F.col("node.label").alias("label"), F.col("node.project").alias("project"), F.col("node.folder").alias("folder"), "n_edges", "n_sources")
 
 
 def import_counts(edges: DataFrame) -> DataFrame:
     """Per importing file its distinct imports_from edges and distinct targets."""
     own = distinct_edges(edges).where((F.col("relation") == "imports_from") & F.col("source_file").isNotNull())
-    return balanced_aggregate(own, ["source_file"], {"import_count": ("count", F.col("edge_id")), "n_targets": ("distinct", F.col("target"))}, F.col("target"), shard_count(edges))
+    return balanced_aggregate(own, "source_file", {"import_count": ("count", F.col("edge_id")), "n_targets": ("distinct", F.col("target"))}, F.col("target"), plan_loads(own, "source_file"))
 
 
 def folder_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:

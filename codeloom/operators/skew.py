@@ -109,14 +109,14 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str, spread:
     return joined.drop("_task", names["key"], names["task"])
 
 
-def balanced_aggregate(df: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[str, Column]], spread: Column, shards: int) -> DataFrame:
-    """Per-key results in two steps: each key's rows go to ``shards`` partial groups, whose results are then combined.
+def balanced_aggregate(df: DataFrame, key: str, aggregates: dict[str, tuple[str, Column]], spread: Column, plan: LoadPlan) -> DataFrame:
+    """Per-key results in two steps: rows go to the tasks the plan gives their key, partial results of a split key are combined.
 
     ``aggregates`` maps a name to (kind, column), kind being count, sum, min, max or distinct.  For ``distinct``
     ``spread`` must be that column, so that a value meets its repeats in one shard and the counts add up.
     """
     final = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "distinct": F.sum}
     partial = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "distinct": F.count_distinct}
-    salted = df.withColumn("_shard", F.pmod(F.xxhash64(spread), F.lit(shards)))
-    first = salted.groupBy(*keys, "_shard").agg(*[partial[kind](column).alias(name) for name, (kind, column) in aggregates.items()])
-    return first.groupBy(*keys).agg(*[final[kind](name).alias(name) for name, (kind, _) in aggregates.items()])
+    placed = plan.scatter(df, key, spread)
+    first = placed.groupBy(key, "_task").agg(*[partial[kind](column).alias(name) for name, (kind, column) in aggregates.items()])
+    return first.groupBy(key).agg(*[final[kind](name).alias(name) for name, (kind, _) in aggregates.items()])
