@@ -63,11 +63,13 @@ def _ops(text: str) -> str:
     return "|".join(re.escape(x) for x in sorted(text.split(), key=lambda x: -len(x)))
 
 
+_SINGLE = r"[(){}\[\],;]"
+# the commonest tokens come first; no later alternative could begin where one of them does
 _LEXERS = {
-    "java": [_MARKER, r"//[^\n]*", _BLOCK, r'"""[\s\S]*?"""', _QUOTED, _NAME, _NUMBER, _ops(">>>= <<= >>= ... -> :: ++ -- += -= *= /= %= &= |= ^= == != <= >= && || <<"), r"\n", r"\S"],
-    "javascript": [_MARKER, r"//[^\n]*", _BLOCK, _QUOTED, _TEMPLATE, _REGEX, _JS_NAME, _NUMBER, _ops(">>>= <<= >>= **= &&= ||= ??= === !== ... => ?. ?? ** ++ -- += -= *= /= %= &= |= ^= == != <= >= && || <<"), r"\n", r"\S"],
-    "go": [_MARKER, r"//[^\n]*", _BLOCK, r"`[^`]*`", _QUOTED, _NAME, _NUMBER, _ops("<<= >>= &^= ... := <- ++ -- += -= *= /= %= &= |= ^= == != <= >= && || << >> &^"), r"\n", r"\S"],
-    "python": [_MARKER, r"(?:[ \t\f]*(?:\#[^\n]*)?\r?\n)+[ \t]*", r"\#[^\n]*", r"\\\r?\n", _PY_STRING, _NAME, _NUMBER, _ops("**= //= <<= >>= ... := -> ** // += -= *= /= %= &= |= ^= @= == != <= >= << >>"), r"\S"],
+    "java": [_NAME, _SINGLE, r"\n", r'"""[\s\S]*?"""', _QUOTED, _NUMBER, _MARKER, r"//[^\n]*", _BLOCK, _ops(">>>= <<= >>= ... -> :: ++ -- += -= *= /= %= &= |= ^= == != <= >= && || <<"), r"\S"],
+    "javascript": [_JS_NAME, _SINGLE, r"\n", _QUOTED, _TEMPLATE, _NUMBER, _MARKER, r"//[^\n]*", _BLOCK, _REGEX, _ops(">>>= <<= >>= **= &&= ||= ??= === !== ... => ?. ?? ** ++ -- += -= *= /= %= &= |= ^= == != <= >= && || <<"), r"\S"],
+    "go": [_NAME, _SINGLE, r"\n", r"`[^`]*`", _QUOTED, _NUMBER, _MARKER, r"//[^\n]*", _BLOCK, _ops("<<= >>= &^= ... := <- ++ -- += -= *= /= %= &= |= ^= == != <= >= && || << >> &^"), r"\S"],
+    "python": [_PY_STRING, _NAME, _SINGLE, _MARKER, r"(?:[ \t\f]*(?:\#[^\n]*)?\r?\n)+[ \t]*", _NUMBER, r"\#[^\n]*", r"\\\r?\n", _ops("**= //= <<= >>= ... := -> ** // += -= *= /= %= &= |= ^= @= == != <= >= << >>"), r"\S"],
 }
 _LEXERS["typescript"] = _LEXERS["javascript"]
 _COMPILED = {lang: re.compile("|".join(parts)) for lang, parts in _LEXERS.items()}
