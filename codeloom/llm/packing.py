@@ -96,7 +96,7 @@ def pack(lengths: np.ndarray, capacity: int, index: Index) -> list[list[tuple[in
         if len(own) > 1 and room and free:  # the last piece may give way to one that leaves less room
             last = own[-1]
             best = bisect_right(free, (room + last[3], len(rest))) - 1
-            if best >= 0 and free[best][0] > last[3]:
+            if best >= 0 and free[best][0] > last[3] + capacity // 100:
                 own[-1] = use(free[best][1])
                 unused[last[0]] = True
                 insort(free, (last[3], last[0]))

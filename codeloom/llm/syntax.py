@@ -55,11 +55,26 @@ def _cut(lang: str):
     pieces = re.compile(rf"(?<=;)(?![{of('else')}])|(?<=B)(?=[^{onward}])(?!$)")
 
     def cut(text: str) -> list[str]:
-        return [x for line in breaks.split(text) for x in pieces.split(line.replace("N", "")) if x]
+        return _joined([x for line in breaks.split(text) for x in pieces.split(line.replace("N", "")) if x], words)
 
     return cut
 
 
+_DECORATORS = re.compile(r"(?:@\w(?:d\w)*P?)+")
+
+
+def _joined(parts: list[str], words: dict[str, str]) -> list[str]:
+    """Decorators belong to what follows them, and a while to the do before it."""
+    out: list[str] = []
+    for part in parts:
+        before = out[-1] if out else ""
+        if before and (_DECORATORS.fullmatch(before) or (before[0] == words["do"] and part[0] == words["while"])):
+            out[-1] += part
+        else:
+            out.append(part)
+    return out
+
+
 class _Lexer:
     """Turns the files of one language into pairs and signatures."""
 
@@ -70,7 +85,7 @@ class _Lexer:
             ends = "ins)]}c" + "".join(self.words[w] for w in "return break continue fallthrough".split())
             self.ends = re.compile(rf"(?<=[{re.escape(ends)}])N+")
         inside = "".join(self.words[w] for w in "extends super keyof typeof void this readonly const infer".split() if w in self.words) + "".join(self.words[w] for w in CONTEXTUAL[lang].split() if w not in "as")
-        before = "ixdMw=(" + "".join(self.words[w] for w in CONTEXTUAL[lang].split())
+        before = "ixdMw=(" + ("{};B" if lang == "java" else "") + "".join(self.words[w] for w in CONTEXTUAL[lang].split())
         self.generic = re.compile(rf"(?<=[{before}])l[idqxGQPBNMws,&v=e:@{inside}]*g") if lang in ("java", "typescript") else None
 
     def lex(self, text: str) -> tuple[list[str], list[str]]:
