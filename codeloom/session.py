@@ -44,3 +44,12 @@ def pin(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: work that is dear per row should not wait for one file.
+
+    Large inputs have more partitions than that already and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
