@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import grammar
 from codeloom.llm.lexing import CONTEXTUAL, EXTENSIONS, classes, letters, tokens
-from codeloom.session import pin
+from codeloom.session import pin, spread
 
 _INNER = re.compile(r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}")
 _REDUCED = {"(": "P", "[": "Q", "{": "B", "l": "G"}
@@ -291,7 +291,7 @@ def known_files(files: DataFrame) -> DataFrame:
 
 def lex(files: DataFrame) -> DataFrame:
     """(file_path, lang, pairs, signatures) of each file."""
-    own = files.select("file_path", "lang", "content")
+    own = spread(files.select("file_path", "lang", "content"))
     return own.mapInPandas(_lexed, "file_path string, lang string, pairs array<string>, signatures array<string>")
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
@@ -55,7 +57,7 @@ def token_table(documents: DataFrame, path: str) -> DataFrame:
             yield pd.concat([batch[["doc_id", "source"]], sizes], axis=1)
 
     own = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.lower(F.trim("source")).alias("source"), "text")
-    return own.mapInPandas(run, VECTOR)
+    return spread(own).mapInPandas(run, VECTOR)
 
 
 def document_frequencies(vectors: DataFrame, size: int) -> np.ndarray:
