@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.plans import data_queries, graph_queries
+from codeloom.plans import data_queries, extract_queries, graph_queries
 
-_MODULES = (data_queries, graph_queries)
+_MODULES = (data_queries, graph_queries, extract_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
