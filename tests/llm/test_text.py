@@ -159,3 +159,16 @@ def test_feistel_is_a_permutation_of_its_format():
     assert pseudonym("1234567", b"k") != pseudonym("1234567", b"other")
     days = [dt.date(1999, 12, 31) + dt.timedelta(n) for n in range(400)]
     assert [date_pseudonym(date_pseudonym(d, b"k"), b"k", forward=False) for d in days] == days
+
+
+def test_extra_columns_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(texts(20), DOCS)
+    for name in ("n_tokens", "ids", "counts", "shard", "mix_name", "rate", "label", "pii_type", "word", "n"):
+        docs = docs.withColumn(name, F.lit(None).cast("string"))
+    sizes = spark.createDataFrame([("c", 256, "x")], "container_name string, capacity_tokens int, doc_id string")
+    targets = spark.createDataFrame([("m", "s0", 1.0, 1, "x")], TARGETS + ", n_tokens string")
+    assert packing.packed(docs, sizes).select("doc_id").distinct().count() == 20
+    assert {r["source"] for r in mixing.chosen(docs, targets)[0].collect()} == {"s0"}
+    assert pii.pieces(docs).count() == 0
