@@ -32,7 +32,8 @@ def files_to_extract(spark: SparkSession, files: DataFrame, log: DataFrame, wave
     """
     folder = folder or f"{work_folder(spark)}/changes-{uuid.uuid4().hex}"
     done = succeeded_waves(waves)
-    ready = log.join(done, "wave_id")
+    own = log.select("result_id", "wave_id", "file_path", "content_hash")
+    ready = own.join(done, "wave_id")
     latest = latest_records(spark, folder)
     latest.run(ready, "result_id")
     state = latest.state().select(F.col("key").alias("_path"), F.col("best.v.content_hash").alias("_hash"))

@@ -42,7 +42,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nodes").unionByName(table(spark, d, "shared_nodes"))
+    columns = ("id", "label", "project", "source_file", "first_seen_at")
+    return table(spark, d, "nodes").select(*columns).unionByName(table(spark, d, "shared_nodes").select(*columns))
 
 
 def p5_target_degrees(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,8 @@ HUB, START, FAR = "platform-kit::ChilledPantryHistoryManager", "platform-kit::La
 
 
 def _raw_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nodes").unionByName(table(spark, d, "shared_nodes"))
+    columns = ("id", *build.NODE_COLUMNS, "first_seen_at")
+    return table(spark, d, "nodes").select(*columns).unionByName(table(spark, d, "shared_nodes").select(*columns))
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:

@@ -134,3 +134,31 @@ def test_two_runs_cannot_commit_the_same_number(make, spark, tmp_path):
     with pytest.raises(RuntimeError, match="another run"):
         book.commit(base, ranges, [])
     assert sorted((r["lo"], r["hi"]) for r in book.processed().collect()) == [(1, 3), (9, 10)]
+
+
+def test_nothing_extracted_yet(make, spark):
+    files = make([("a", "1"), ("b", None)], "file_path string, content string")
+    got = changes.files_to_extract(spark, files, make([], LOG), make([], WAVES))
+    assert sorted(r[0] for r in got.collect()) == ["a", "b"]
+    assert changes.files_to_extract(spark, files.limit(0), make([], LOG), make([], WAVES)).count() == 0
+
+
+def test_extra_columns_with_clashing_names(make, spark):
+    def more(df, *names):
+        for name in names:
+            df = df.withColumn(name, F.lit("x"))
+        return df
+
+    files = more(make([("a", "1")], "file_path string, content string"), "hash", "_path", "_hash", "started_at", "key")
+    log = more(make([(1, 1, "a", sha("1"))], LOG), "started_at", "ok", "key", "_cell", "best", "status")
+    waves = more(make([(1, at(1), "ok")], WAVES), "ok", "file_path", "content_hash", "result_id")
+    assert changes.files_to_extract(spark, files, log, waves).count() == 0
+    edges = more(make([(i, "a", "x", "imports_from", "f") for i in range(9)], "edge_id long, source string, target string, relation string, source_file string"), "_task", "key", "n", "key_value", "total", "node", "label", "folder")
+    nodes = more(make([("x", "X", "p", "/r/f.py", at(1)), ("a", "A", "p", "/q/f.py", at(1))], "id string, label string, project string, source_file string, first_seen_at timestamp_ntz"), "target", "source", "_task", "folder", "node", "born")
+    assert hotkeys.hot_keys(edges).count() == 2
+    assert hotkeys.target_degrees(edges, nodes).first()["n_edges"] == 9
+    assert sorted(r["degree"] for r in hotkeys.folder_degrees(edges, nodes).collect()) == [9, 9]
+    seen = more(edges.withColumn("seen_at", F.lit(at(5)).cast("timestamp_ntz")), "ref_table", "born", "kind_key")
+    refs = more(make([(1, "a", "Nope", at(5))], "ref_id long, source_node_id string, ref_name string, seen_at timestamp_ntz"), "key", "gone", "ref_field")
+    spans = orphans.life_spans(nodes.withColumn("removed_at", F.lit(None).cast("timestamp_ntz")))
+    assert [r["ref_field"] for r in orphans.orphan_references(orphans.references(seen, refs), spans).collect()] == ["ref_name"]
