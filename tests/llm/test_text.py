@@ -126,6 +126,8 @@ PLAIN = {
     "wohnhaft Tannenstr. 119 b, 99937 Neuhallen, demeurant 44 bis rue du\nMoulin-Neuf, 99615 Marlieu": [("address", "Tannenstr. 119 b, 99937 Neuhallen"), ("address", "44 bis rue du\nMoulin-Neuf, 99615 Marlieu")],
     "Before: Judge Quenby Falevik. Mr O'Wexby's log; Falevik said that FALEVIK Quenby and Q. Falevik agree. Falevik Foods Ltd": [("name", "Quenby Falevik"), ("name", "O'Wexby"), ("name", "Falevik"), ("name", "FALEVIK Quenby"), ("name", "Q. Falevik")],
     "Herr Dr. von Morgenwald, Neskermar-Vance, Quenby; Mme Isaure J.\nSanmoquin; P. N. and Mx X": [("name", "von Morgenwald"), ("name", "Neskermar-Vance, Quenby"), ("name", "Isaure J.\nSanmoquin")],
+    "ET : ISAURE DE SANMOQUIN\n\nVON MERZAHN Quenby. M. Valreville; le contrat de travail de Valreville": [("name", "ISAURE DE SANMOQUIN"), ("name", "VON MERZAHN Quenby"), ("name", "Valreville"), ("name", "Valreville")],
+    "Her Honour Judge Quenby Falevik\n\nMr. M.\n\nHBCC-2021-0004646": [("name", "Quenby Falevik")],
     "Judge Yard0ne sat.": [("name", "Yard0ne")],
     "": [],
 }
