@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as fn
 from codeloom.operators import analyze, build, enrich, filters, serve, traverse
 from codeloom.operators.components import connected_components
+from codeloom.sources import scan
 from codeloom.tables import table
 
 #: Nodes of the shared repository, in every size of the tables: one that much depends on, one that uses much, and a goal.
@@ -213,9 +214,7 @@ def q31_purged(spark, d):
 
 
 def q32_components(spark, d):
-    """Components of the graph without the nodes of the shared repository and external ones, which join everything."""
-    edges = _edges(spark, d).where("relation = 'calls'").where(~F.col("source").startswith("platform-kit::") & ~F.col("target").startswith("platform-kit::") & ~F.col("target").startswith("ext/"))
-    return connected_components(edges, "source", "target")
+    return connected_components(_edges(spark, d), "source", "target")
 
 
 def _start(spark):
@@ -235,11 +234,11 @@ def q35_shortest_path(spark, d):
 
 
 def q36_communities_lpa(spark, d):
-    return traverse.label_propagation(_edges(spark, d).where("relation = 'injects'"), 2)
+    return traverse.label_propagation(_edges(spark, d), 2)
 
 
 def q36b_communities_louvain(spark, d):
-    return traverse.louvain(_edges(spark, d).where("relation = 'injects'"), 2, 4)
+    return traverse.louvain(_edges(spark, d), 2, 4)
 
 
 def q37_cohesion(spark, d):
@@ -328,11 +327,9 @@ def q52_route_segments(spark, d):
 
 def q53_scan_rules(spark, d):
     """What a scan would take of the files: extension allowed, no ignored or hidden folder below the project."""
-    from codeloom.sources.scan import scannable
-
     files = _files(spark, d).join(_roots(spark, d).groupBy("project").agg(F.min("root").alias("root")), "project", "left")
     rel = F.when(F.col("file_path").startswith(F.col("root")), F.substring(F.col("file_path"), F.length("root") + 1, F.lit(1 << 30))).otherwise(F.col("file_path"))
-    return files.where(scannable(rel)).groupBy("project").agg(F.count(F.lit(1)).alias("n_files"))
+    return files.where(scan.scannable(rel)).groupBy("project").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def q54_wave_summary(spark, d):
@@ -390,12 +387,12 @@ _URLROWS = f"{_CTE}, u AS (SELECT DISTINCT file_path, url FROM (SELECT file_path
 _SIMPLE = ", ".join(f"'{w}'" for w in fn.SIMPLE_TYPES)
 _CACHE = "ca AS (SELECT file_path, arg_max(content_hash, result_id) AS h FROM local_extract_results WHERE content_hash IS NOT NULL GROUP BY 1)"
 _RESOURCES = ", ".join(f"('{m}', '{p}', '{a}')" for m, p, a in fn.RESOURCE_ROUTES)
-_PAIRS = "p AS (SELECT DISTINCT source AS id, target AS other FROM e WHERE relation = 'injects' AND source <> target UNION SELECT target, source FROM e WHERE relation = 'injects' AND source <> target)"
+_PAIRS = "p AS (SELECT DISTINCT source AS id, target AS other FROM e WHERE source <> target UNION SELECT target, source FROM e WHERE source <> target)"
 
 
 def _round(k: int) -> str:
     return f"""v{k} AS (SELECT id, label, count(*) AS c FROM (SELECT p.id, l.label FROM p JOIN l{k - 1} l ON l.id = p.other UNION ALL SELECT id, label FROM l{k - 1}) GROUP BY 1, 2),
-l{k} AS (SELECT id, min(label) AS label FROM v{k} WHERE c = (SELECT max(c) FROM v{k} x WHERE x.id = v{k}.id) GROUP BY id)"""
+l{k} AS (SELECT id, min(label) AS label FROM v{k} WHERE (id, c) IN (SELECT id, max(c) FROM v{k} GROUP BY id) GROUP BY id)"""
 
 
 SQL = {
@@ -444,8 +441,9 @@ SQL = {
     "q29_hash_cache": f"{_CTE} SELECT file_path, sha256(content) AS content_hash, substring(sha256(content), 1, 12) AS short_hash, ('0x' || substring(md5(project), 1, 6))::INT AS colour FROM f",
     "q30_changed_files": f"{_CTE}, {_CACHE} SELECT f.file_path, CASE WHEN h IS NULL THEN 'new' ELSE 'changed' END AS state FROM f LEFT JOIN ca ON ca.file_path = f.file_path WHERE h IS NULL OR h <> sha256(content)",
     "q31_purged": f"{_CTE}, {_CACHE} SELECT file_path FROM ca WHERE file_path NOT IN (SELECT file_path FROM f)",
-    "q32_components": f"""{_CTE}, l AS (SELECT source AS a, target AS b FROM e WHERE relation = 'calls' AND NOT starts_with(source, 'platform-kit::') AND NOT starts_with(target, 'platform-kit::') AND NOT starts_with(target, 'ext/')),
- both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a AS id, a AS r FROM both_ways UNION SELECT reach.id, w.b FROM reach JOIN both_ways w ON w.a = reach.r) SELECT id, min(r) AS component FROM reach GROUP BY 1""",
+    "q32_components": f"""{_CTE}, l AS (SELECT DISTINCT source AS a, target AS b FROM e WHERE source <> target), both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ reach AS (SELECT DISTINCT a AS id, a AS r FROM both_ways UNION SELECT reach.id, w.b FROM reach JOIN both_ways w ON w.a = reach.r) SELECT id, min(r) AS component FROM reach GROUP BY 1
+ UNION ALL SELECT DISTINCT source, source FROM e WHERE source = target AND source NOT IN (SELECT a FROM both_ways)""",
     "q33_blast_radius_2": f"{_CTE}, one AS (SELECT DISTINCT target AS id FROM e WHERE source = '{START}'), two AS (SELECT DISTINCT e.target AS id FROM e JOIN one ON one.id = e.source) SELECT id, min(depth) AS depth FROM (SELECT id, 1 AS depth FROM one UNION ALL SELECT id, 2 FROM two) WHERE id <> '{START}' GROUP BY 1",
     "q34_upstream": f"{_CTE} SELECT DISTINCT source AS id FROM e WHERE target = '{HUB}' AND source <> '{HUB}'",
     "q35_shortest_path": f"""{_CTE}, walk AS (SELECT '{START}' AS id, 0 AS depth UNION SELECT e.target, depth + 1 FROM walk JOIN e ON e.source = walk.id WHERE depth < 6), least_depth AS (SELECT id, min(depth) AS depth FROM walk GROUP BY 1),
@@ -478,6 +476,8 @@ SQL = {
     "q51_reverse_edges": f"{_CTE} SELECT relation, count(*) AS n FROM (SELECT relation FROM e UNION ALL SELECT CASE relation {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in fn.REVERSE_RELATIONS.items())} ELSE '←' || relation END FROM e) GROUP BY 1",
     "q52_route_segments": f"""{_CTE}, s AS (SELECT file_path, regexp_replace(regexp_extract(file_path, '/pages/(.*)$', 1), '\\.[a-z]+$', '') AS rel FROM f WHERE contains(file_path, '/pages/'))
  SELECT file_path, '/' || array_to_string(list_filter(string_split(rel, '/'), lambda x: x <> '' AND x <> 'index'), '/') AS route, '/' || array_to_string(list_filter(string_split(rel || '/:id/*', '/'), lambda x: x <> '' AND x <> 'index'), '/') AS nested FROM s""",
+    "q53_scan_rules": f"""{_CTE}, s AS (SELECT f.project, string_split(ltrim(CASE WHEN root IS NOT NULL AND starts_with(file_path, root) THEN substring(file_path, length(root) + 1) ELSE file_path END, '/'), '/') AS parts, regexp_extract(file_path, '(\\.[^./]+)$', 1) AS ext FROM f LEFT JOIN roots ON roots.project = f.project)
+ SELECT project, count(*) AS n_files FROM s WHERE ext IN ({', '.join(repr(x) for x in scan.CODE_EXTENSIONS)}) AND len(parts) - 1 <= {scan.MAX_DEPTH} AND len(list_intersect(parts[1:len(parts) - 1], {scan.IGNORED_FOLDERS!r})) = 0 AND len(list_filter(parts[1:len(parts) - 1], lambda x: starts_with(x, '.'))) = 0 GROUP BY 1""",
     "q54_wave_summary": """SELECT project, count(*) AS n_waves, sum(ok)::BIGINT AS n_ok, sum(fc)::BIGINT AS file_count, sum(sc)::BIGINT AS skipped_count FROM (SELECT wave_id, project, max(CASE WHEN lower(trim(status)) = 'ok' THEN 1 ELSE 0 END) AS ok, max(file_count) AS fc,
  max(greatest(least(skipped_count, file_count), 0)) AS sc FROM wave_results WHERE wave_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1""",
     "q55_cache_stats": "SELECT count(DISTINCT result_id) AS n_results, count(DISTINCT file_path) AS n_files, count(DISTINCT content_hash) AS n_hashes FROM local_extract_results",

@@ -38,10 +38,23 @@ def work_folder(spark: SparkSession) -> str:
     return made
 
 
+_PINNED: list[str] = []
+
+
+def drop_pins(spark: SparkSession) -> int:
+    """Delete the tables that ``pin`` wrote; results not yet computed must not be needed any more.  Returns how many."""
+    n, jvm = 0, spark.sparkContext._jvm
+    while _PINNED:
+        path = jvm.org.apache.hadoop.fs.Path(_PINNED.pop())
+        n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def pin(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and the loss of an executor costs nothing."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _PINNED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

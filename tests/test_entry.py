@@ -20,3 +20,11 @@ def test_without_llm(monkeypatch):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_pins_can_be_dropped(spark):
+    from codeloom.session import drop_pins, pin
+
+    kept = pin(spark.range(5).toDF("x"))
+    assert kept.count() == 5
+    assert drop_pins(spark) >= 1 and drop_pins(spark) == 0
