@@ -88,9 +88,13 @@ class _Classes(dict):
     def __missing__(self, token: str) -> str:
         if len(self) > KEPT:
             self.clear()
-        found = self.fixed.get(token)
-        if found is None:
-            found = self._class(token)
+        head = token[0]
+        if (head.isalpha() or head == "_") and token[-1] not in "\"'":  # most that is new is a name or a number
+            found = self.fixed.get(token, "i")
+        elif head.isdigit():
+            found = "n"
+        else:
+            found = self.fixed.get(token) or self._class(token)
         self[token] = found
         return found
 
