@@ -112,9 +112,17 @@ def test_kinds(spark):
     got = made(spark, rows, [(1, "libx", "1", "k.py", "python", irregular(9)), (None, "n", "1", "n.py", "python", irregular(2)), (2, "u", "1", "u.txt", "text", "x")])
     assert got == {"/r/a/x.py": "vendored", "/r/b/deep/y.py": "vendored", "/r/d/third_party/lib1/z.py": "vendored", "/r/a/gen.py": "generated", "/r/a/head.py": "generated", "/r/a/foot.py": "generated", "/r/a/data.py": "data", "/r/a/min.js": "minified"}
     assert made(spark, [("/r/e/w.py", "e", irregular(9))], [(1, "libx", "1", "k.py", "python", irregular(9))]) == {"/r/e/w.py": "vendored"}
+    cut = irregular(9)[: len(irregular(9)) // 3]
+    assert made(spark, [("/r/e/cut.py", "e", cut), ("/r/e/other.py", "e", irregular(11))], [(1, "libx", "1", "k.py", "python", irregular(9))]) == {"/r/e/cut.py": "vendored"}
     assert made(spark, []) == {}
 
 
+def test_vendor_items_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(provenance, "MOST_ITEM_CHARS", 10)
+    with pytest.raises(ValueError, match="vendor items"):
+        made(spark, [("/r/a.py", "a", "x = 1")], [(1, "l", "1", "k.py", "python", irregular(9))])
+
+
 def test_clusters_find_what_brute_force_finds(spark):
     rng = random.Random(2)
     rows = []
