@@ -13,6 +13,8 @@ from codeloom.operators import analyze, serve
 
 #: Links shown per node and relation; what is left out is counted.
 SHOWN = 50
+#: Members that say nothing about a class.
+ACCESSOR = "^(get|set|is|has)[A-Z]|^(toString|equals|hashCode|compareTo|clone)$"
 # Commands by a word in the framework's name, the first that fits.
 COMMANDS = [("nest", "npm run start:dev | npm test"), ("next", "npm run dev | npm run build"), ("nuxt", "npm run dev | npm run build"), ("angular", "ng serve | ng test"), ("svelte", "npm run dev | npm run check"), ("vue", "npm run dev | npm run build"), ("react", "npm start | npm test"), ("express", "npm start | npm test"), ("koa", "npm start | npm test"), ("fastify", "npm start | npm test"), ("node", "npm start | npm test"), ("spring", "./mvnw spring-boot:run | ./mvnw test"), ("ktor", "./gradlew run | ./gradlew test"), ("fastapi", "uvicorn main:app --reload | pytest"), ("django", "python manage.py runserver | python manage.py test"), ("flask", "flask run | pytest"), ("python", "python main.py | pytest"), ("gin", "go run . | go test ./..."), ("echo", "go run . | go test ./..."), ("go", "go run . | go test ./..."), ("rails", "bin/rails server | bin/rails test"), ("laravel", "php artisan serve | php artisan test"), ("aspnet", "dotnet run | dotnet test"), ("actix", "cargo run | cargo test"), ("rust", "cargo run | cargo test"), ("tauri", "cargo tauri dev | cargo test"), ("vapor", "swift run | swift test")]
 
@@ -92,7 +94,10 @@ def vault(graph: Graph) -> DataFrame:
     both = links.unionByName(links.select(F.col("p2").alias("p1"), F.col("n2").alias("n1"), reverse_relation(F.col("relation")).alias("relation"), F.col("p1").alias("p2"), F.col("n1").alias("n2")))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("p1", "n1").orderBy("relation", "p2", "n2"))).where(F.col("rank") <= 4 * SHOWN)
     lines = ranked.groupBy(F.col("p1").alias("project"), F.col("n1").alias("note")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- "), "relation", F.lit(": [["), "p2", F.lit("/"), "n2", F.lit("]]")).alias("l")))), lambda x: x["l"]), "\n").alias("t"))
-    body = F.concat(F.lit("---\nproject: "), "project", F.lit("\ntype: "), "type", F.lit("\ncolor: "), colour(F.col("project")).cast("string"), F.lit("\n---\n# "), "label", F.lit("\n\nSource: "), "source_file", F.lit("\n\n"), F.coalesce("t", F.lit("")), F.lit("\n\n[[_"), "project", F.lit("]]\n"))
+    said = graph.nodes.where("source_file is not null").select("source_file", F.explode(F.from_json("detail", "dependencies array<string>")["dependencies"]).alias("member"))
+    members = said.where(~F.col("member").rlike(ACCESSOR)).groupBy("source_file").agg(F.array_join(F.array_sort(F.collect_set("member")), ", ").alias("members"))
+    placed = placed.join(members, "source_file", "left")
+    body = F.concat(F.lit("---\nproject: "), "project", F.lit("\ntype: "), "type", F.lit("\ncolor: "), colour(F.col("project")).cast("string"), F.lit("\n---\n# "), "label", F.lit("\n\nSource: "), "source_file", F.coalesce(F.concat(F.lit("\n\nMembers: "), "members"), F.lit("")), F.lit("\n\n"), F.coalesce("t", F.lit("")), F.lit("\n\n[[_"), "project", F.lit("]]\n"))
     notes = placed.join(lines, ["project", "note"], "left").select(F.concat("project", F.lit("/"), "note", F.lit(".md")).alias("path"), body.alias("content"))
     hub_rank = placed.withColumn("at", F.row_number().over(Window.partitionBy("project").orderBy("note"))).where("at <= 1000")
     hubs = hub_rank.groupBy("project").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- [["), "project", F.lit("/"), "note", F.lit("]]")))), "\n").alias("t")).select(F.concat("project", F.lit("/_"), "project", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "project", F.lit("\n\n"), "t", F.lit("\n")).alias("content"))

@@ -72,6 +72,12 @@ def test_files(engine, spark, tmp_path):
     assert files.load_node_link(spark, str(tmp_path / "graph.json")).edges.count() == engine.graph.edges.count()
     notes = {r["path"]: r["content"] for r in articles.vault(engine.graph).collect()}
     assert "calls_api: [[shop-api/" in notes["shop-web/UserPage.md"] and "shop-web/_shop-web.md" in notes
+    from codeloom.graph import Graph
+
+    node = "id string, label string, type string, source_file string, line int, project string, framework string, implements array<string>, extends array<string>, detail string"
+    one = spark.createDataFrame([("p::A", "A", "class", "/r/a.py", 1, "p", "f", [], [], '{"dependencies": ["getX", "Store", "Clock", "toString"]}')], node)
+    bare = Graph(one, spark.createDataFrame([], "source string, target string, relation string"), None)
+    assert "Members: Clock, Store\n" in {r["path"]: r["content"] for r in articles.vault(bare).collect()}["p/A.md"]
     escaped = spark.createDataFrame([("../out.md", "x"), ("/abs.md", "x"), ("in/a.md", "y")], "path string, content string")
     assert files.write_files(escaped, str(tmp_path / "safe")) == 1
     merged = articles.merge_block("mine\n", articles.context_block(engine.graph))
