@@ -10,6 +10,11 @@ from codeloom.session import pin
 MAX_ROUNDS = 60
 
 
+def _fingerprint(links: DataFrame) -> tuple:
+    """Number and combined hash of distinct rows: equal sets agree, others all but surely differ."""
+    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.hash("v", "u"))).first())
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component) of every vertex of an edge; the component is named by its smallest id.
 
@@ -21,6 +26,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     own = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     vertices = own.select(F.explode(F.array(a, b)).alias("id")).distinct()
     links = pin(own.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    seen = _fingerprint(links)
     for _ in range(MAX_ROUNDS):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
@@ -28,10 +34,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u")
         joined = large.join(small_least, F.col("u") == F.col("_u"))
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
-        new = pin(small, "links")
-        changed = new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty()
-        links = new
-        if changed:
+        links, before = pin(small, "links"), seen
+        seen = _fingerprint(links)
+        if seen == before:
             break
     else:
         raise RuntimeError("components did not settle")
