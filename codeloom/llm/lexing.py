@@ -52,8 +52,9 @@ _MARKER = r"(?m:^(?:<{7}|>{7}|={7}|\|{7})(?=[ \r\n]|\Z)[^\n]*)"
 _BLOCK = r"/\*(?:[\s\S]*?\*/|[\s\S]*)"
 _QUOTED = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
 _NUMBER = r"0[xXbBoO][\da-fA-F_]+[lLn]?|(?:\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?[lLfFdDnij]?"
-_NAME = r"[^\W\d][\w$]*"
-_JS_NAME = r"[#$]?[^\W\d][\w$]*|\$[\w$]*"
+# plain letters first, as their sets are fast; other letters may follow or begin a name
+_NAME = r"[A-Za-z_][A-Za-z0-9_$]*(?:[^\W\x00-\x7f][\w$]*)?|[^\W\d\x00-\x7f][\w$]*"
+_JS_NAME = r"[#$]?[A-Za-z_][A-Za-z0-9_$]*(?:[^\W\x00-\x7f][\w$]*)?|\$[\w$]*|#?[^\W\d\x00-\x7f][\w$]*"
 _TEMPLATE = r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|\{[^{}]*\}|`[^`]*`)*\})*`"
 _REGEX = r"(?:(?<=[(,=:\[!&|?{};+\n])|(?<=[(,=:\[!&|?{};+>] )|(?<=return )|(?<=return)|\A)/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"
 _PY_STRING = r"[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^\\]|\\[\s\S])*?\"\"\"|'''(?:[^\\]|\\[\s\S])*?'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*')"
@@ -72,7 +73,8 @@ _LEXERS = {
     "python": [_PY_STRING, _NAME, _SINGLE, _MARKER, r"(?:[ \t\f]*(?:\#[^\n]*)?\r?\n)+[ \t]*", _NUMBER, r"\#[^\n]*", r"\\\r?\n", _ops("**= //= <<= >>= ... := -> ** // += -= *= /= %= &= |= ^= @= == != <= >= << >>"), r"\S"],
 }
 _LEXERS["typescript"] = _LEXERS["javascript"]
-_COMPILED = {lang: re.compile("|".join(parts)) for lang, parts in _LEXERS.items()}
+#: Blanks before a token are taken along outside the group, so that the alternatives aren't tried at each of them.
+_COMPILED = {lang: re.compile(f"[ \\t]*({'|'.join(parts)})") for lang, parts in _LEXERS.items()}
 #: The class letters of tokens seen are kept up to so many, then forgotten.
 KEPT = 200_000
 

@@ -140,7 +140,7 @@ def test_clusters_find_what_brute_force_finds(spark):
     sets = {}
     for path, _, text in rows:
         found = provenance.tokens("python", text)
-        hidden, plain, _ = provenance.coded(*provenance.words_of(found, provenance.classes("python", found)))
+        hidden, plain = provenance.coded(*provenance.words_of(found, provenance.classes("python", found)))
         sets[path] = (set(provenance.Shingles([hidden]).of(0).tolist()), set(provenance.Shingles([plain]).of(0).tolist()))
     close = lambda a, b: len(a & b) / len(a | b)
     pairs = [(a, b) for a in sets for b in sets if a < b and close(sets[a][0], sets[b][0]) >= 0.8 and close(sets[a][1], sets[b][1]) >= 0.5]
