@@ -73,7 +73,7 @@ _TODO = """SELECT DISTINCT f.file_path FROM source_files f LEFT JOIN (
   GROUP BY 1) s ON s.file_path = f.file_path WHERE s.h IS NULL OR f.content IS NULL OR s.h <> sha256(f.content)"""
 _EDGES = "(SELECT edge_id, max(source) AS source, max(target) AS target, max(relation) AS relation, max(source_file) AS source_file FROM edges GROUP BY 1)"
 _PLACE = f"(SELECT id, min(regexp_replace(source_file, '/[^/]*$', '')) AS folder FROM {_ALL_NODES} WHERE source_file IS NOT NULL GROUP BY 1)"
-_ENDS = f"(SELECT a.folder AS to_folder, b.folder AS from_folder FROM {_EDGES} e JOIN {_PLACE} a ON a.id = e.target JOIN {_PLACE} b ON b.id = e.source WHERE a.folder <> b.folder)"
+_ENDS = f"ends AS MATERIALIZED (SELECT a.folder AS to_folder, b.folder AS from_folder FROM {_EDGES} e JOIN {_PLACE} a ON a.id = e.target JOIN {_PLACE} b ON b.id = e.source)"
 
 SQL = {
     "p1_found": _ORPHANS,
@@ -92,7 +92,7 @@ SQL = {
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY first_seen_at NULLS LAST, label, project NULLS FIRST, source_file NULLS FIRST) = 1) n ON n.id = e.target
   WHERE e.target IS NOT NULL GROUP BY e.target""",
     "p5_import_counts": f"SELECT source_file, count(*) AS import_count, count(DISTINCT target) AS n_targets FROM {_EDGES} WHERE relation = 'imports_from' AND source_file IS NOT NULL GROUP BY 1",
-    "p5_folder_degrees": f"""SELECT c.folder, c.child_count, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) + coalesce(o.n, 0) AS degree
+    "p5_folder_degrees": f"""WITH {_ENDS} SELECT c.folder, c.child_count, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) + coalesce(o.n, 0) AS degree
   FROM (SELECT folder, count(*) AS child_count FROM {_PLACE} GROUP BY 1) c
-  LEFT JOIN (SELECT to_folder, count(*) AS n FROM {_ENDS} GROUP BY 1) i ON i.to_folder = c.folder LEFT JOIN (SELECT from_folder, count(*) AS n FROM {_ENDS} GROUP BY 1) o ON o.from_folder = c.folder""",
+  LEFT JOIN (SELECT to_folder, count(*) AS n FROM ends WHERE to_folder <> from_folder GROUP BY 1) i ON i.to_folder = c.folder LEFT JOIN (SELECT from_folder, count(*) AS n FROM ends WHERE to_folder <> from_folder GROUP BY 1) o ON o.from_folder = c.folder""",
 }

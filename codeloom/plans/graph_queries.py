@@ -403,7 +403,7 @@ SQL = {
     "q05_graph_stats": f"{_CTE}, d AS ({_DEGREES}) SELECT count(*) AS n_nodes, count(*) FILTER (degree = 0) AS n_isolated, (SELECT count(*) FROM e) AS n_edges, round((SELECT count(*) FROM e) / (count(*)::DOUBLE * (count(*) - 1)), 9) AS density FROM d",
     "q06_degrees": f"{_CTE} {_DEGREES}",
     "q07_folder_coupling_top20": f"""{_CTE}, pl AS (SELECT id, coalesce(project, '') AS project, {_FOLDER.format('source_file')} AS folder FROM n WHERE source_file IS NOT NULL),
- x AS (SELECT a.project AS sp, a.folder AS sf, b.project AS tp, b.folder AS tf FROM e JOIN pl a ON a.id = e.source JOIN pl b ON b.id = e.target WHERE a.project <> b.project OR a.folder <> b.folder),
+ ends AS MATERIALIZED (SELECT a.project AS sp, a.folder AS sf, b.project AS tp, b.folder AS tf FROM e JOIN pl a ON a.id = e.source JOIN pl b ON b.id = e.target), x AS (SELECT * FROM ends WHERE sp <> tp OR sf <> tf),
  i AS (SELECT tp AS project, tf AS folder, count(*) AS c FROM x GROUP BY 1, 2), o AS (SELECT sp AS project, sf AS folder, count(*) AS c FROM x GROUP BY 1, 2), ch AS (SELECT project, folder, count(*) AS c FROM pl GROUP BY 1, 2)
  SELECT ch.project, ch.folder AS folder_path, ch.c AS child_count, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) + coalesce(o.c, 0) AS degree,
  round((coalesce(i.c, 0) + coalesce(o.c, 0)) / greatest(1, (SELECT count(*) FROM n) - ch.c), 9) AS centrality FROM ch LEFT JOIN i USING (project, folder) LEFT JOIN o USING (project, folder)
