@@ -150,3 +150,13 @@ def test_clusters_find_what_brute_force_finds(spark):
         for b in group:
             if group[a] == group[b]:
                 assert a.split("_")[0] == b.split("_")[0]
+
+
+def test_copies_of_files_that_tell_of_themselves(spark):
+    code, lines = irregular(21), body(22)
+    spaced = "var " + ", ".join(f"a{i} = b{i * 37 % 11}(c, {i}, d, e)" for i in range(80)) + ";"
+    tight = spaced.replace(", ", ",").replace(" = ", "=")
+    rows = [("/r/a/gen.py", "a", "# Code generated by tool 1. DO NOT EDIT.\n" + code), ("/r/b/bare.py", "b", code), ("/r/a/lib.min.js", "a", tight), ("/r/b/lib.js", "b", spaced), ("/r/b/own.py", "b", irregular(23))]
+    got = made(spark, rows + [("/r/a/units.py", "a", lines)])
+    assert set(got) == {"/r/a/gen.py", "/r/b/bare.py", "/r/a/lib.min.js", "/r/b/lib.js", "/r/a/units.py"}
+    assert got["/r/b/bare.py"] == got["/r/b/lib.js"] == "vendored" and got["/r/a/units.py"] == "generated"
