@@ -160,3 +160,23 @@ def test_copies_of_files_that_tell_of_themselves(spark):
     got = made(spark, rows + [("/r/a/units.py", "a", lines)])
     assert set(got) == {"/r/a/gen.py", "/r/b/bare.py", "/r/a/lib.min.js", "/r/b/lib.js", "/r/a/units.py"}
     assert got["/r/b/bare.py"] == got["/r/b/lib.js"] == "vendored" and got["/r/a/units.py"] == "generated"
+
+
+def test_bands_reach_the_least_similarities():
+    rng = random.Random(4)
+    near = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    hit = []
+    for seed in range(400):
+        found = provenance.tokens("python", irregular(1000 + seed))
+        words, row = provenance.words_of(found, provenance.classes("python", found))
+        other = [f"n{rng.random()}" if kind == "i" and rng.random() < 0.12 else word for word, kind in zip(words, row)]
+        for k in range(len(other)):
+            if rng.random() < 0.02:
+                other[k], row = str(rng.random()), row[:k] + "n" + row[k + 1 :]
+        both = [provenance.coded(words, provenance.words_of(found, provenance.classes("python", found))[1]), provenance.coded(other, row)]
+        hidden, plain = provenance.Shingles([x for x, _ in both]), provenance.Shingles([x for _, x in both])
+        if 0.8 <= near(hidden.of(0), hidden.of(1)) < 0.85 and 0.5 <= near(plain.of(0), plain.of(1)) < 0.6:
+            keys = provenance.band_keys(hidden, plain)
+            hit.append(bool((keys[0] == keys[1]).any()))
+    assert len(hit) >= 40
+    assert sum(hit) >= 0.95 * len(hit)
