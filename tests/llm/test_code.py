@@ -180,3 +180,16 @@ def test_bands_reach_the_least_similarities():
             hit.append(bool((keys[0] == keys[1]).any()))
     assert len(hit) >= 40
     assert sum(hit) >= 0.95 * len(hit)
+
+
+def test_every_family_of_a_band_is_found(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"/r/{k}_{v}.py", f"p{v}", irregular(300 + k) + "x = 1\n" * v) for k in range(4) for v in range(3)]
+    files = syntax.known_files(spark.createDataFrame(rows, "file_path string, project string, content string"))
+    prints = provenance.fingerprints(files).withColumn("bands", F.expr("array(7L)"))
+    names = {r["f"]: r["file_path"] for r in files.selectExpr("xxhash64(file_path) as f", "file_path").collect()}
+    groups = {}
+    for r in provenance.clusters(prints, files).collect():
+        groups.setdefault(r["cluster"], set()).add(names[r["fid"]])
+    assert sorted(map(sorted, groups.values())) == [[f"/r/{k}_{v}.py" for v in range(3)] for k in range(4)]
