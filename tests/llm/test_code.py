@@ -2,6 +2,7 @@
 
 import ast
 import random
+import re
 
 import pytest
 
@@ -193,3 +194,12 @@ def test_every_family_of_a_band_is_found(spark):
     for r in provenance.clusters(prints, files).collect():
         groups.setdefault(r["cluster"], set()).add(names[r["fid"]])
     assert sorted(map(sorted, groups.values())) == [[f"/r/{k}_{v}.py" for v in range(3)] for k in range(4)]
+
+
+def test_siblings_within_a_project_are_generated(spark):
+    def named(k):
+        words = re.sub(r"\b[a-l]\b", lambda m: f"{m[0]}{k}", irregular(31)) if k else irregular(31)
+        return re.sub(r"\d{3,}", lambda m: str(int(m[0]) + k), words, count=5)
+
+    rows = [(f"/r/a/s{k}.py", "a", named(k)) for k in range(4)] + [(f"/r/b/e{k}.py", "b", irregular(32) + "x = 1\n" * k) for k in range(4)] + [(f"/r/c/two{k}.py", "c", irregular(33 + k)) for k in range(2)]
+    assert made(spark, rows) == {f"/r/a/s{k}.py": "generated" for k in range(4)}
