@@ -148,23 +148,26 @@ def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(w, p, n) for (w, p), n in counts.items()], columns=["word", "place", "n"])
 
 
-#: Bounds of the lexicons; they are ordered by the number of texts, so that a larger corpus fills them with surer names.
-MOST_GIVEN, MOST_SURNAMES = 20_000, 300_000
+#: Bound of the lexicons' words, which every worker holds; a corpus with more is refused, never cut.
+MOST_NAMES = 1_000_000
 
 
 def lexicons(documents: DataFrame) -> tuple[list[str], list[str]]:
     """Given names and surnames of the corpus, from all its texts.
 
     A given name stands first after titles in three texts or more, and at most half as often second; a surname
-    stands second or alone in three or more.
+    stands second or alone in three or more.  Every word that passes counts; more than MOST_NAMES are an error.
     """
     counts = spread(documents.select("text").where("text is not null")).mapInPandas(_learned, "word string, place int, n long")
     at = lambda *places: F.sum(F.when(F.col("place").isin(*places), F.col("n")).otherwise(0))
     rated = counts.groupBy("word").agg(at(1).alias("a"), at(2).alias("b"), at(2, 3).alias("c")).where("a >= 3 or c >= 3")
-    kept = rated.withColumn("given", F.expr("a >= 3 and a >= 2 * b")).orderBy(F.desc(F.greatest("a", "c")), "word").limit(MOST_GIVEN + MOST_SURNAMES).collect()
-    given = [r["word"] for r in kept if r["given"] and r["word"] not in COMMON][:MOST_GIVEN]
+    kept = rated.withColumn("given", F.expr("a >= 3 and a >= 2 * b")).where("given or c >= 3").limit(MOST_NAMES + 1).collect()
+    if len(kept) > MOST_NAMES:
+        raise ValueError(f"the corpus holds more than {MOST_NAMES} names")
+    kept.sort(key=lambda r: (-max(r["a"], r["c"]), r["word"]))
+    given = [r["word"] for r in kept if r["given"] and r["word"] not in COMMON]
     known = set(given)
-    return given, [r["word"] for r in kept if r["c"] >= 3 and r["word"] not in known and r["word"] not in COMMON][:MOST_SURNAMES]
+    return given, [r["word"] for r in kept if r["c"] >= 3 and r["word"] not in known and r["word"] not in COMMON]
 
 
 class Finder:

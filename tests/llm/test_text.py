@@ -174,3 +174,16 @@ def test_extra_columns_with_clashing_names(spark):
     assert packing.packed(docs, sizes).select("doc_id").distinct().count() == 20
     assert {r["source"] for r in mixing.chosen(docs, targets)[0].collect()} == {"s0"}
     assert pii.pieces(docs).count() == 0
+
+
+def test_lexicons_keep_every_name_or_refuse(spark, monkeypatch):
+    names = [chr(65 + k % 26) + "".join(chr(97 + (k // 26**j + 7 * j) % 26) for j in range(1, 4)) + "en" for k in range(60)]
+    monkeypatch.setattr(pii, "MOST_GIVEN", 10, raising=False)
+    monkeypatch.setattr(pii, "MOST_SURNAMES", 20, raising=False)
+    rows = [(k, f"Mr {name} Quillson spoke.") for k, name in enumerate(sorted(set(names)) * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given, surnames = pii.lexicons(docs)
+    assert set(given) == set(names) - pii.COMMON and surnames == ["Quillson"]
+    monkeypatch.setattr(pii, "MOST_NAMES", 10, raising=False)
+    with pytest.raises(ValueError, match="names"):
+        pii.lexicons(docs)
