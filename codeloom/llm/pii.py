@@ -192,7 +192,8 @@ class Finder:
         if "@" in text:
             for m in EMAIL.finditer(text):
                 take("email", *m.span())
-        if _NUMBERED.search(text):
+        if _RUN.search(text):
+            numbered = bool(_NUMBERED.search(text))  # an address needs one digit only
             numbers: list[tuple[int, int, int]] = []
             for m in _RUN.finditer(text):
                 start, end = m.span()
@@ -210,6 +211,8 @@ class Finder:
                         street = _STREET.search(text, max(0, start - 48), start)
                         if street and _STREET_END.search(text, street.start(), found.end()):
                             take("address", street.start(), found.end())
+                if not numbered:
+                    continue
                 if spaced or after in "-/" or after.isupper():
                     found = ID_FORMATS[0].match(text, start)
                     if found:
@@ -224,12 +227,12 @@ class Finder:
                 found = PHONE.match(text, start)
                 if found:
                     numbers.append((1, *found.span()))
-            for m in ID_FORMATS[1].finditer(text):
+            for m in ID_FORMATS[1].finditer(text) if numbered else ():
                 take("id_number", *m.span())
             for kind, start, end in numbers:
                 if kind == 0:
                     take("id_number", start, end)
-            for m in ID_LABELLED.finditer(text):
+            for m in ID_LABELLED.finditer(text) if numbered else ():
                 value = m["value"].rstrip(" \n-/")
                 if sum(c.isdigit() for c in value) >= 5:
                     take("id_number", m.start("value"), m.start("value") + len(value))

@@ -187,3 +187,8 @@ def test_lexicons_keep_every_name_or_refuse(spark, monkeypatch):
     monkeypatch.setattr(pii, "MOST_NAMES", 10, raising=False)
     with pytest.raises(ValueError, match="names"):
         pii.lexicons(docs)
+
+
+def test_addresses_of_single_digits():
+    text = "Notice. 7 High Street, Leeds LS1 4AB is closed."
+    assert [(kind, text[a:b]) for kind, a, b in pii.Finder([]).find(text)] == [("address", "7 High Street, Leeds LS1 4AB")]
