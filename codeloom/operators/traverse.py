@@ -78,12 +78,19 @@ def label_propagation(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return labels.select("id", F.col("label").alias("community"))
 
 
-def louvain(edges: DataFrame, levels: int = 5, rounds: int = 6) -> DataFrame:
+def _moved(own: DataFrame, moves: DataFrame) -> DataFrame:
+    """(n, c) after the moves (u, c)."""
+    return pin(own.join(moves.select(F.col("u").alias("n"), F.col("c").alias("to")), "n", "left").select("n", F.coalesce("to", "c").alias("c")), "own")
+
+
+def louvain(edges: DataFrame, levels: int = 50, rounds: int = 1000) -> DataFrame:
     """(id, community) of a greedy modularity clustering in levels; communities are named by their smallest member.
 
     In each round every group may move to the neighbour group with the greatest gain of modularity, but only
-    to a smaller name in even rounds and to a greater one in odd rounds, so that two never swap.  After the
-    rounds groups become the nodes of the next level, until nothing moves.
+    to a smaller name in even rounds and to a greater one in odd rounds, so that two never swap.  Where moves made
+    together would not raise the modularity, only those are made that are the best of both their communities: they
+    share none, so their gains add up, and the rounds end.  When no move has a gain, groups become the nodes of the
+    next level, until nothing moves; more than ``levels`` or ``rounds`` are an error.
     """
     pairs = undirected(edges)
     links = pin(pairs.selectExpr("a as u", "b as v", "1.0D as w"), "links")
@@ -95,7 +102,14 @@ def louvain(edges: DataFrame, levels: int = 5, rounds: int = 6) -> DataFrame:
         both = pin(links.unionByName(links.where("u <> v").selectExpr("v as u", "u as v", "w")), "both")
         strength = pin(links.selectExpr("u as n", "w").unionByName(links.selectExpr("v as n", "w")).groupBy("n").agg(F.sum("w").alias("k")), "strength")
         own = strength.select("n", F.col("n").alias("c"))
-        moved_any = False
+        moved_any, quiet = False, 0
+
+        def quality(groups: DataFrame) -> float:
+            inner = links.join(groups.selectExpr("n as u", "c as cu"), "u").join(groups.selectExpr("n as v", "c as cv"), "v").where("cu = cv").agg(F.sum("w")).first()[0] or 0.0
+            squares = groups.join(strength, "n").groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+            return inner / total - squares / (4 * total * total)
+
+        reached = quality(own)
         for r in range(rounds):
             sums = own.join(strength, "n").groupBy("c").agg(F.sum("k").alias("sum_k"))
             toward = both.where("u <> v").join(own.select(F.col("n").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
@@ -104,19 +118,32 @@ def louvain(edges: DataFrame, levels: int = 5, rounds: int = 6) -> DataFrame:
             inside = toward.select("u", F.col("c").alias("now"), F.col("w").alias("own_w"))
             options = toward.join(base, "u").join(inside, ["u", "now"], "left").join(sums, "c").where(F.col("c") < F.col("now") if r % 2 == 0 else F.col("c") > F.col("now"))
             gain = (F.col("w") - F.coalesce("own_w", F.lit(0.0))) / total - F.col("k") * (F.col("sum_k") - F.col("own_k") + F.col("k")) / (2 * total * total)
-            best = options.withColumn("gain", gain).where("gain > 1e-12").groupBy("u").agg(F.max(F.struct("gain", "c"))["c"].alias("c"))
+            best = options.withColumn("gain", gain).where("gain > 1e-12").groupBy("u", "now").agg(F.max(F.struct("gain", "c")).alias("m")).select("u", "now", "m.c", "m.gain")
             moves = pin(best, "moves")
             if moves.isEmpty():
-                if r % 2:
+                quiet += 1
+                if quiet == 2:  # neither direction has a gain
                     break
                 continue
-            moved_any = True
-            own = pin(own.join(moves.select(F.col("u").alias("n"), F.col("c").alias("to")), "n", "left").select("n", F.coalesce("to", "c").alias("c")), "own")
+            quiet, moved_any = 0, True
+            after = _moved(own, moves)
+            value = quality(after)
+            if value <= reached + 1e-12:
+                touched = moves.select("u", F.struct("gain", "u").alias("rank"), F.explode(F.array("now", "c")).alias("of"))
+                first = touched.groupBy("of").agg(F.max("rank").alias("rank")).select("of", F.col("rank.u").alias("u"))
+                alone = first.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("u")
+                after = _moved(own, moves.join(alone, "u", "left_semi"))
+                value = quality(after)
+            own, reached = after, value
+        else:
+            raise RuntimeError("communities did not settle")
         if not moved_any:
             break
         members = pin(members.join(own.select(F.col("n").alias("node"), "c"), "node").select("id", F.col("c").alias("node")), "members")
         a, b = own.selectExpr("n as u", "c as cu"), own.selectExpr("n as v", "c as cv")
         links = pin(links.join(a, "u").join(b, "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")), "links")
+    else:
+        raise RuntimeError("communities did not settle")
     names = members.groupBy("node").agg(F.min("id").alias("community"))
     return members.join(names, "node").select("id", "community")
 

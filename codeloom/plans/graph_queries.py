@@ -238,7 +238,7 @@ def q36_communities_lpa(spark, d):
 
 
 def q36b_communities_louvain(spark, d):
-    return traverse.louvain(_edges(spark, d), 2, 4)
+    return traverse.louvain(_edges(spark, d))
 
 
 def q37_cohesion(spark, d):

@@ -144,3 +144,9 @@ def test_text_functions(make):
     urls = make([("fetch('/api/a?x=1'); axios.get(\"/b#t\"); client.post(`/c`); url: '/d'; x = '/api/e'; fetch('http://z')",)], "t string").select(fn.extract_urls(F.col("t"))).first()[0]
     assert sorted(urls) == ["/api/a", "/api/e", "/b", "/c", "/d"]
     assert make([('invoke<T>("save"); ipcRenderer.send("log-it")',)], "t string").select(fn.extract_commands(F.col("t"))).first()[0] == ["save", "log-it"]
+
+
+def test_louvain_raises_rather_than_stop_early(make):
+    e = build.collapse_edges(make([edge(a, b, n=i) for i, (a, b) in enumerate([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")])], EDGE))
+    with pytest.raises(RuntimeError, match="settle"):
+        traverse.louvain(e, 1, 1)
