@@ -103,25 +103,38 @@ def irregular(seed):
     return "\n".join(rng.choice(forms).format(a=rng.choice("abcd"), b=rng.choice("efgh"), c=rng.choice("ijkl"), n=rng.randrange(10**6)) for _ in range(60)) + "\n"
 
 
+def accessors(seed, n=30):
+    """Units of one template with ever new names."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    return "class X:\n" + "".join(f"    def get_{w}(self):\n        return self._d[{k}]\n\n    def set_{w}(self, v):\n        self._d[{k}] = v\n\n" for k, w in ((k, word()) for k in range(n)))
+
+
 def test_kinds(spark):
     lib = irregular(1)
     rows = [
-        ("/r/a/x.py", "a", lib), ("/r/a/x.py", "a", lib), ("/r/b/deep/y.py", "b", "# ours now\n" + lib.replace("print(", "show(", 1)), ("/r/c/own.py", "c", irregular(2)), ("/r/c/own_copy.py", "c", irregular(2)), ("/r/d/third_party/lib1/z.py", "d", irregular(3)), ("/r/d/vendors/z.py", "d", irregular(4)),
-        ("/r/a/gen.py", "a", body(5)), ("/r/a/head.py", "a", "# Code generated by tool 1. DO NOT EDIT.\n" + irregular(6)), ("/r/a/foot.py", "a", irregular(7) + "# @generated by x\n"), ("/r/a/said.py", "a", "s = '# Code generated by tool. DO NOT EDIT.'\n# ids are generated by the caller\n" + irregular(8)),
-        ("/r/a/data.py", "a", "T = [" + ", ".join(str(i * 7919) for i in range(200)) + "]\n"), ("/r/a/min.js", "a", "var " + ",".join(f"a{i}=b{i}(c,{i}?d:e)" for i in range(80)) + ";"), ("/r/a/empty.py", "a", ""), ("/r/b/empty.py", "b", None), (None, "a", lib),
+        ("/r/a/x.py", "a", lib), ("/r/a/x.py", "a", lib), ("/r/b/deep/y.py", "b", "# ours now\n" + lib.replace("print(", "show(", 1)), ("/r/c/own.py", "c", irregular(2)), ("/r/c/own_copy.py", "c", irregular(2)), ("/r/d/vendors/z.py", "d", irregular(4)),
+        ("/r/a/gen.py", "a", accessors(5)), ("/r/a/said.py", "a", "s = '# Code generated by tool. DO NOT EDIT.'\n" + irregular(8)), ("/r/a/meeting.py", "a", "the notes of a meeting say that we " * 30),
+        ("/r/a/data.py", "a", "T = [" + ", ".join(str(i * 7919) for i in range(200)) + "]\n"), ("/r/a/min.js", "a", "var " + ",".join(f"a{i}=b{i * i}(c,{i}?d:e{'+f' * (i % 7)}{'*g.h' * (i % 5)})" for i in range(80)) + ";"), ("/r/a/empty.py", "a", ""), ("/r/b/empty.py", "b", None), (None, "a", lib), ("/r/z/none.py", None, irregular(13)),
     ]
-    got = made(spark, rows, [(1, "libx", "1", "k.py", "python", irregular(9)), (None, "n", "1", "n.py", "python", irregular(2)), (2, "u", "1", "u.txt", "text", "x")])
-    assert got == {"/r/a/x.py": "vendored", "/r/b/deep/y.py": "vendored", "/r/d/third_party/lib1/z.py": "vendored", "/r/a/gen.py": "generated", "/r/a/head.py": "generated", "/r/a/foot.py": "generated", "/r/a/data.py": "data", "/r/a/min.js": "minified"}
+    got = made(spark, rows, [(1, "libx", "1", "k.py", "python", irregular(9)), (None, "n", "1", "n.py", "python", irregular(2)), (2, "u", "1", "u.txt", "text", "x"), (3, "v", "1", None, "python", "y")])
+    assert got == {"/r/a/x.py": "vendored", "/r/b/deep/y.py": "vendored", "/r/a/gen.py": "generated", "/r/a/data.py": "data", "/r/a/min.js": "minified"}
     assert made(spark, [("/r/e/w.py", "e", irregular(9))], [(1, "libx", "1", "k.py", "python", irregular(9))]) == {"/r/e/w.py": "vendored"}
     cut = irregular(9)[: len(irregular(9)) // 3]
     assert made(spark, [("/r/e/cut.py", "e", cut), ("/r/e/other.py", "e", irregular(11))], [(1, "libx", "1", "k.py", "python", irregular(9))]) == {"/r/e/cut.py": "vendored"}
     assert made(spark, []) == {}
 
 
-def test_vendor_items_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(provenance, "MOST_ITEM_CHARS", 10)
-    with pytest.raises(ValueError, match="vendor items"):
-        made(spark, [("/r/a.py", "a", "x = 1")], [(1, "l", "1", "k.py", "python", irregular(9))])
+def test_comments_and_folders_are_learned_from_clusters(spark):
+    rows = [(f"/r/a/g{k}.py", "a", "# made by the stubmill 1.2, leave it alone\n" + accessors(60 + k)) for k in range(4)]
+    rows += [(f"/r/b/h{k}.py", "b", f"# made by the stubmill 3.{k}, leave it alone\n" + irregular(70 + k)) for k in range(3)]
+    rows += [(f"/r/c/i{k}.py", "c", "# the house licence of the firm holds here\n" + irregular(80 + k)) for k in range(6)]
+    for k in range(6):  # of each library one copy in two projects
+        rows += [(f"/r/{p}/outside/lib{k}/l{k}.py", p, irregular(90 + k)) for p in ("d", "e")]
+    rows += [("/r/d/outside/other/o.py", "d", irregular(99)), ("/r/d/inside/other/o.py", "d", irregular(98)), ("/r/d/x/outside.py", "d", irregular(97))]
+    got = made(spark, rows)
+    assert {p for p, k in got.items() if k == "generated"} == {f"/r/a/g{k}.py" for k in range(4)} | {f"/r/b/h{k}.py" for k in range(3)}
+    assert {p for p, k in got.items() if k == "vendored"} == {p for p, _, _ in rows if "/outside/" in p}
 
 
 def test_clusters_find_what_brute_force_finds(spark):
@@ -137,14 +150,14 @@ def test_clusters_find_what_brute_force_finds(spark):
     files = syntax.known_files(spark.createDataFrame(rows, "file_path string, project string, content string"))
     prints = provenance.fingerprints(files)
     names = {r["f"]: r["file_path"] for r in files.selectExpr("xxhash64(file_path) as f", "file_path").collect()}
-    group = {names[r["fid"]]: r["cluster"] for r in provenance.clusters(prints, files).collect()}
+    group = {names[r["fid"]]: r["cluster"] for r in provenance.clusters(prints, files)[0].collect()}
     sets = {}
     for path, _, text in rows:
         found = provenance.tokens("python", text)
-        hidden, plain = provenance.coded(*provenance.words_of(found, provenance.classes("python", found)))
+        hidden, plain, _ = provenance.coded(*provenance.words_of(found, provenance.classes("python", found)))
         sets[path] = (set(provenance.Shingles([hidden]).of(0).tolist()), set(provenance.Shingles([plain]).of(0).tolist()))
     close = lambda a, b: len(a & b) / len(a | b)
-    pairs = [(a, b) for a in sets for b in sets if a < b and close(sets[a][0], sets[b][0]) >= 0.8 and close(sets[a][1], sets[b][1]) >= 0.5]
+    pairs = [(a, b) for a in sets for b in sets if a < b and close(sets[a][0], sets[b][0]) >= 0.8 and close(sets[a][1], sets[b][1]) >= 0.6]
     hit = sum(group.get(a) is not None and group.get(a) == group.get(b) for a, b in pairs)
     assert hit >= 0.9 * len(pairs) > 0
     for a in group:
@@ -154,13 +167,13 @@ def test_clusters_find_what_brute_force_finds(spark):
 
 
 def test_copies_of_files_that_tell_of_themselves(spark):
-    code, lines = irregular(21), body(22)
+    code = irregular(21)
     spaced = "var " + ", ".join(f"a{i} = b{i * 37 % 11}(c, {i}, d, e)" for i in range(80)) + ";"
     tight = spaced.replace(", ", ",").replace(" = ", "=")
     rows = [("/r/a/gen.py", "a", "# Code generated by tool 1. DO NOT EDIT.\n" + code), ("/r/b/bare.py", "b", code), ("/r/a/lib.min.js", "a", tight), ("/r/b/lib.js", "b", spaced), ("/r/b/own.py", "b", irregular(23))]
-    got = made(spark, rows + [("/r/a/units.py", "a", lines)])
+    got = made(spark, rows + [("/r/a/units.py", "a", accessors(22))])
     assert set(got) == {"/r/a/gen.py", "/r/b/bare.py", "/r/a/lib.min.js", "/r/b/lib.js", "/r/a/units.py"}
-    assert got["/r/b/bare.py"] == got["/r/b/lib.js"] == "vendored" and got["/r/a/units.py"] == "generated"
+    assert got["/r/b/bare.py"] == "vendored" and got["/r/a/units.py"] == "generated"
 
 
 def test_bands_reach_the_least_similarities():
@@ -170,13 +183,13 @@ def test_bands_reach_the_least_similarities():
     for seed in range(400):
         found = provenance.tokens("python", irregular(1000 + seed))
         words, row = provenance.words_of(found, provenance.classes("python", found))
-        other = [f"n{rng.random()}" if kind == "i" and rng.random() < 0.12 else word for word, kind in zip(words, row)]
+        other = [f"n{rng.random()}" if kind == "i" and rng.random() < 0.09 else word for word, kind in zip(words, row)]
         for k in range(len(other)):
             if rng.random() < 0.02:
                 other[k], row = str(rng.random()), row[:k] + "n" + row[k + 1 :]
-        both = [provenance.coded(words, provenance.words_of(found, provenance.classes("python", found))[1]), provenance.coded(other, row)]
+        both = [provenance.coded(words, provenance.words_of(found, provenance.classes("python", found))[1])[:2], provenance.coded(other, row)[:2]]
         hidden, plain = provenance.Shingles([x for x, _ in both]), provenance.Shingles([x for _, x in both])
-        if 0.8 <= near(hidden.of(0), hidden.of(1)) < 0.85 and 0.5 <= near(plain.of(0), plain.of(1)) < 0.6:
+        if 0.8 <= near(hidden.of(0), hidden.of(1)) < 0.85 and 0.6 <= near(plain.of(0), plain.of(1)) < 0.7:
             keys = provenance.band_keys(hidden, plain)
             hit.append(bool((keys[0] == keys[1]).any()))
     assert len(hit) >= 40
@@ -191,7 +204,7 @@ def test_every_family_of_a_band_is_found(spark):
     prints = provenance.fingerprints(files).withColumn("bands", F.expr("array(7L)"))
     names = {r["f"]: r["file_path"] for r in files.selectExpr("xxhash64(file_path) as f", "file_path").collect()}
     groups = {}
-    for r in provenance.clusters(prints, files).collect():
+    for r in provenance.clusters(prints, files)[0].collect():
         groups.setdefault(r["cluster"], set()).add(names[r["fid"]])
     assert sorted(map(sorted, groups.values())) == [[f"/r/{k}_{v}.py" for v in range(3)] for k in range(4)]
 
