@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.feistel import pseudonym
+from codeloom.llm.feistel import name_pseudonym, pseudonym
 from codeloom.session import spread
 
 # Titles and roles that stand before a person's name.
@@ -170,6 +170,30 @@ def lexicons(documents: DataFrame) -> tuple[list[str], list[str]]:
     return given, [r["word"] for r in kept if r["c"] >= 3 and r["word"] not in known and r["word"] not in COMMON]
 
 
+def _words_back(text: str, at: int, n: int) -> int:
+    """Where the n-th word before ``at`` begins, however long the words are."""
+    for _ in range(n):
+        while at and text[at - 1] in " \n\t":
+            at -= 1
+        while at and text[at - 1] not in " \n\t":
+            at -= 1
+    return at
+
+
+def _before_given(text: str, at: int) -> int:
+    """Where a surname and its particles before a given name at ``at`` may begin, one character of context more."""
+    while at and text[at - 1] in " \n\t,":
+        at -= 1
+    return max(0, _words_back(text, _parts_back(text, at), 3) - 2)
+
+
+def _parts_back(text: str, at: int) -> int:
+    """Where the run of letters, apostrophes and hyphens before ``at`` begins; a hyphen may end a line."""
+    while at and (text[at - 1].isalpha() or text[at - 1] in "-'’" or (text[at - 1] == "\n" and at > 1 and text[at - 2] == "-")):
+        at -= 1
+    return at
+
+
 class Finder:
     """Finds the pieces of one text, by the lexicons of given names and surnames."""
 
@@ -204,11 +228,11 @@ class Finder:
                     for pattern in ADDRESSES:
                         found = pattern.match(text, start)
                         if found:
-                            flat = _FLAT.search(text, max(0, start - 24), start)
+                            flat = _FLAT.search(text, _words_back(text, start, 3), start)
                             take("address", flat.start() if flat else start, found.end())
                     found = GERMAN_ADDRESS.match(text, start)
                     if found:
-                        street = _STREET.search(text, max(0, start - 48), start)
+                        street = _STREET.search(text, _words_back(text, start, 4), start)
                         if street and _STREET_END.search(text, street.start(), found.end()):
                             take("address", street.start(), found.end())
                 if not numbered:
@@ -271,7 +295,7 @@ class Finder:
             edge = start - 1
             while edge > 0 and text[edge] in " \n\t":
                 edge -= 1
-            before = edge < start - 1 and (text[edge] == "," or text[edge].isupper()) and _BEFORE_GIVEN.search(text, max(0, start - 60), start)
+            before = edge < start - 1 and (text[edge] == "," or text[edge].isupper()) and _BEFORE_GIVEN.search(text, _before_given(text, start), start)
             if before:
                 word = before["upper"] or before["comma"]
                 if word not in COMMON and word not in self.given:
@@ -291,7 +315,7 @@ class Finder:
                 if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
                     continue
                 if start and text[start - 1] in "-'’":  # a part of a double name, or with a prefix
-                    start -= len(_PARTS_BEFORE.search(text[max(0, start - 40) : start])[0])
+                    start -= len(_PARTS_BEFORE.search(text[_parts_back(text, start) : start])[0])
                 if text[end : end + 1] == "-":
                     end = _PARTS_AFTER.match(text, end).end()
                 if (start == 0 or not (text[start - 1].isalnum() or text[start - 1] in "_&-'’")) and not _NOT_NAME.match(text, end):
@@ -303,7 +327,8 @@ class Finder:
                 while at >= 0:
                     end = at + len(word)
                     if (at == 0 or not (text[at - 1].isalnum() or text[at - 1] in "_&-")) and not _NOT_NAME.match(text, end):
-                        take("name", at - len(lead.search(text[max(0, at - 24) : at])[0]), end)
+                        initial = "." in text[max(0, at - 4) : at]  # only then initials stand before
+                        take("name", at - len(lead.search(text[_words_back(text, at, 5) : at])[0]) if initial or lead is _NOBLE_LEAD else at, end)
                     at = text.find(word, end)
 
 
@@ -360,7 +385,8 @@ def pieces(documents: DataFrame) -> DataFrame:
 def replaced(text: str, spans: list[tuple[str, int, int]], key: bytes) -> str:
     out, at = [], 0
     for kind, start, end in spans:
-        out += [text[at:start], f"[{kind.upper()}:{pseudonym(' '.join(text[start:end].split()), key)}]"]
+        value = " ".join(text[start:end].split())
+        out += [text[at:start], f"[{kind.upper()}:{name_pseudonym(value, key) if kind == 'name' else pseudonym(value, key)}]"]
         at = end
     return "".join([*out, text[at:]])
 

@@ -77,9 +77,16 @@ def test_index_scores_against_brute_force():
         idf = np.log1p((40 - frequencies[term] + 0.5) / (frequencies[term] + 0.5))
         return idf * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * counts.sum() / mean)) if tf else 0.0
 
-    query = sorted(docs[3][0], key=lambda t: -weight(t, 3))[: packing.QUERY_TERMS]
-    expected = [sum(weight(t, d) for t in query) for d in range(40)]
-    assert np.allclose(index.scores(3), expected, rtol=1e-4)
+    expected = [sum(weight(t, d) for t in docs[3][0]) for d in range(40)]  # all tokens of the document ask
+    others = [d for d in range(40) if d != 3]
+    assert np.allclose(index.scores(3)[others], np.array(expected)[others], rtol=1e-4)
+
+
+def test_neighbours_meet_in_a_shard(spark, monkeypatch):
+    """Of the ten best neighbours over all rows of ids divisible by 50, at least nine in ten lie in the document's own shard."""
+    monkeypatch.setattr(packing, "SHARD", 100)
+    inside, chance = packing.neighbour_recall(spark.createDataFrame([r for r in texts(800, seed=5) if len(r[1].split()) >= 20], DOCS))
+    assert inside >= 0.9 and chance < 0.5
 
 
 TARGETS = "mix_name string, source string, weight double, max_repeats int"
@@ -88,7 +95,8 @@ TARGETS = "mix_name string, source string, weight double, max_repeats int"
 def test_mixing_reaches_shares(spark):
     rows = [*texts(400), (1000, None, "s0"), (1001, "orphan text", None), (1002, "other", "unlisted")]
     targets = [("m", "s0", 1.0, 1), ("m", "s1", 1.0, 2), ("m", "s2", 2.0, 3), ("m", "missing", 1.0, 1), ("n", "s3", 0.5, 2), ("n", None, 1.0, 1), ("n", "s1", -1.0, 1), ("n", "s2", 0.5, 0)]
-    chosen, shares = mixing.chosen(spark.createDataFrame(rows, DOCS), spark.createDataFrame(targets, TARGETS))
+    chosen, shares, fit = mixing.chosen(spark.createDataFrame(rows, DOCS), spark.createDataFrame(targets, TARGETS))
+    assert fit.label_error < 0.001 and fit.passes < mixing.PASSES
     caps = {(m, s): r for m, s, _, r in targets if s}
     picked = chosen.collect()
     assert len({(r["mix_name"], r["doc_id"]) for r in picked}) == len(picked)
@@ -101,11 +109,35 @@ def test_mixing_reaches_shares(spark):
 
 
 def test_mixing_of_nothing(spark):
-    chosen, shares = mixing.chosen(spark.createDataFrame([], DOCS), spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS))
+    chosen, shares, _ = mixing.chosen(spark.createDataFrame([], DOCS), spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS))
     assert chosen.count() == 0 and [tuple(r)[:5] for r in shares.collect()] == [("m", "a", 1.0, 0.0, 0.0)]
     assert mixing.chosen(spark.createDataFrame(texts(5), DOCS), spark.createDataFrame([], TARGETS))[1].count() == 0
 
 
+def test_memberships_follow_the_text_where_labels_are_wrong(spark):
+    """A tenth of the labels is wrong: those documents become members of the source their text comes from."""
+    rows = [(i, text, f"S{(i + (i % 10 == 0)) % 4}") for i, text, _ in texts(600)]
+    right, wrong = [], []
+    seen = {}
+    original = mixing.pin
+
+    def spy(df, label="table"):
+        out = original(df, label)
+        if label == "soft":
+            seen["rows"] = out.collect()
+        return out
+
+    mixing.pin = spy
+    try:
+        mixing.chosen(spark.createDataFrame(rows, DOCS), spark.createDataFrame([("m", f"s{k}", 1.0, 1) for k in range(4)], TARGETS))
+    finally:
+        mixing.pin = original
+    for r in seen["rows"]:
+        if r["n_tokens"] >= 100:
+            (wrong if r["doc_id"] % 10 == 0 else right).append(int(np.argmax(r["member"])) == r["doc_id"] % 4)
+    assert len(wrong) >= 20 and np.mean(right) > 0.98 and np.mean(wrong) > 0.9
+
+
 def test_classifier_on_held_out_texts():
     enc = encoding(tokenizer_path())
     rows = [np.unique(np.array(enc.encode_ordinary(t), dtype=np.uint32), return_counts=True) for _, t, _ in texts(200)]
