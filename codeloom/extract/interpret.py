@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import RESOURCE_ROUTES, http_method, is_type_name, join_path, route_segments, strip_quotes
+from codeloom.functions.text import RESOURCE_ROUTES, http_method, is_type_name, join_path, resource_path, route_segments, strip_quotes
 
 AT = ("file_path", "project", "framework")
 
@@ -26,6 +26,13 @@ def enclosing(inner: DataFrame, scopes: DataFrame, name: str) -> DataFrame:
     return keyed.join(held, ["file_path", "_key"], "left").drop("_key")
 
 
+def preceding(rows: DataFrame, key: str, at: str, name: str, tie: str) -> DataFrame:
+    """Rows that have another one before them in their group, with its ``name`` and how far ahead it stands."""
+    order = Window.partitionBy(key).orderBy(at, tie)
+    placed = rows.withColumn("before_" + name, F.lag(name).over(order)).withColumn("gap", F.col(at) - F.lag(at).over(order))
+    return placed.where(F.col("before_" + name).isNotNull())
+
+
 def classes(captures: DataFrame) -> DataFrame:
     return _of(captures, "class")
 
@@ -66,9 +73,9 @@ def routes(captures: DataFrame) -> DataFrame:
     verbs = F.when((F.col("framework") == "flask") & (F.col("verb") == "route"), F.coalesce(F.filter(F.transform(F.split(F.col("parts")["methods"], ","), lambda m: F.trim(F.regexp_replace(m, "['\"\\s]", ""))), lambda m: m != ""), F.array(F.lit("GET")))).when(F.col("framework").isin("django", "angular", "vue"), F.array(F.lit("ANY"))).otherwise(F.array(F.col("verb")))
     plain = all_.where(F.col("parts")["call"].isNull() | ~F.col("handler").isin("include")).select(*AT, F.explode(verbs).alias("m"), full.alias("path"), "handler", "line").select(*AT, http_method(F.col("m")).alias("method"), "path", "handler", "line", F.array().cast("array<string>").alias("tags"))
     # resources of seven routes, roots, commands
-    res = _of(captures, "resources").select(*AT, "line", strip_quotes(F.trim(_part("name", "path"))).alias("name"), F.col("parts")["kind"].alias("kind"))
+    res = _of(captures, "resources").select(*AT, "line", F.regexp_replace(strip_quotes(F.trim(_part("name", "path"))), "^:+", "").alias("name"), F.col("parts")["kind"].alias("kind"))
     seven = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(p).alias("suffix"), F.lit(a).alias("action")) for m, p, a in RESOURCE_ROUTES])
-    expanded = res.select(*AT, "line", "name", F.explode(F.when(F.col("kind") == "apiResource", F.filter(seven, lambda r: ~r["action"].isin("new", "edit"))).otherwise(seven)).alias("r")).select(*AT, F.col("r.method").alias("method"), join_path(F.col("name"), F.col("r.suffix")).alias("path"), F.concat("name", F.lit("#"), "r.action").alias("handler"), "line", F.array().cast("array<string>").alias("tags"))
+    expanded = res.select(*AT, "line", "name", F.explode(F.when(F.col("kind") == "apiResource", F.filter(seven, lambda r: ~r["action"].isin("new", "edit"))).otherwise(seven)).alias("r")).select(*AT, F.col("r.method").alias("method"), join_path(resource_path(F.col("r.suffix"), F.col("name"))).alias("path"), F.concat("name", F.lit("#"), "r.action").alias("handler"), "line", F.array().cast("array<string>").alias("tags"))
     roots = _of(captures, "root").select(*AT, F.lit("GET").alias("method"), F.lit("/").alias("path"), _part("handler").alias("handler"), "line", F.array().cast("array<string>").alias("tags"))
     commands = _of(captures, "command").select(*AT, F.lit("INVOKE").alias("method"), F.concat(F.lit("/tauri/"), _part("handler")).alias("path"), _part("handler").alias("handler"), "line", F.array().cast("array<string>").alias("tags"))
     return plain.unionByName(expanded).unionByName(roots).unionByName(commands)
@@ -115,8 +122,17 @@ def services(captures: DataFrame) -> DataFrame:
 
 
 def bindings(captures: DataFrame) -> DataFrame:
-    """(file_path, interface, impl) that containers are told."""
-    return _of(captures, "binding").select("file_path", F.coalesce(F.col("parts")["interface"], F.col("parts")["impl"]).alias("interface"), F.coalesce(F.col("parts")["impl"], F.col("parts")["interface"]).alias("impl"))
+    """(file_path, project, framework, name, ref_name) of what containers are told: the class bound, and the interface it is bound to."""
+    told = _of(captures, "binding").select(*AT, F.coalesce(F.col("parts")["impl"], F.col("parts")["interface"]).alias("name"), F.coalesce(F.col("parts")["interface"], F.col("parts")["impl"]).alias("ref_name"))
+    return told.where("name <> ref_name").distinct()
+
+
+def depends(captures: DataFrame) -> DataFrame:
+    """(file_path, project, framework, handler, ref_name): what the handler of the last route before asks for by Depends."""
+    asked = _of(captures, "depends").select(*AT, "start", F.substring_index(F.coalesce(F.col("parts")["target"], F.col("parts")["type"]), ".", -1).alias("ref_name")).where("ref_name is not null")
+    handlers = _of(captures, "route").select("file_path", F.col("start").alias("_s"), F.col("parts")["handler"].alias("handler"))
+    held = asked.join(handlers, "file_path").where("_s <= start").groupBy(*AT, "start", "ref_name").agg(F.max_by("handler", "_s").alias("handler"))
+    return held.select(*AT, "handler", "ref_name").distinct()
 
 
 _ENTITY = "Entity|Table|Schema|Document|Serialize|Deserialize|Queryable|Insertable|FromRow|DeriveEntityModel"
@@ -175,8 +191,12 @@ def imports(captures: DataFrame) -> DataFrame:
     return _of(captures, "import").select("file_path", strip_quotes(F.trim(_part("path", "module"))).alias("import_path")).where("import_path <> ''").distinct()
 
 
-def doc_references(files: DataFrame) -> DataFrame:
-    """(file_path, name) that doc comments refer to by class name."""
-    pattern = "@(?:see|throws|exception|link|param\\s*\\{|type\\s*\\{|returns?\\s*\\{)\\s*\\{?#?([A-Za-z]\\w*)|:class:`~?\\.?([\\w.]+)`|\\{@link\\s+([A-Za-z]\\w*)|(?:See|Raises|Uses):?\\s+`?([A-Z]\\w+)"
-    rows = files.select("file_path", F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("content", F.lit(pattern), k) for k in (1, 2, 3, 4)])))).alias("word"))
+DOC_REFERENCE = (
+    "@(?:see|throws|exception|link|param\\s*\\{|type\\s*\\{|returns?\\s*\\{)\\s*\\{?#?([A-Za-z]\\w*)|:class:`~?\\.?([\\w.]+)`|\\{@link\\s+([A-Za-z]\\w*)|(?:See|Raises|Uses):?\\s+`?([A-Z]\\w+)"
+)
+
+
+def doc_references(files: DataFrame, pattern: str = DOC_REFERENCE, groups: int = 4) -> DataFrame:
+    """(file_path, name) that doc comments refer to by class name: the ``groups`` of ``pattern``, dotted names by their last part."""
+    rows = files.select("file_path", F.explode(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("content", F.lit(pattern), k) for k in range(1, groups + 1)])))).alias("word"))
     return rows.select("file_path", F.substring_index("word", ".", -1).alias("name")).where(is_type_name(F.col("name"))).distinct()

@@ -69,7 +69,11 @@ def build_graph(files: DataFrame, roots: DataFrame | None = None, doc_references
         told = build.remap_imports(words, nodes).withColumn("source_file", F.col("file_path")).withColumn("confidence", F.lit("INFERRED")).withColumn("confidence_score", F.lit(0.5))
         edges = edges.unionByName(edge(told, "references", 1))
     services = interpret.services(caught)
-    refs = services.select(F.concat_ws("::", "project", "name").alias("source_node_id"), F.explode("dependencies").alias("ref_name"), F.col("file_path").alias("source_file"), "framework").distinct()
+    refs = services.select(F.concat_ws("::", "project", "name").alias("source_node_id"), F.explode("dependencies").alias("ref_name"), F.col("file_path").alias("source_file"), "framework")
+    bound = interpret.bindings(caught).select(F.concat_ws("::", "project", "name").alias("source_node_id"), "ref_name", F.col("file_path").alias("source_file"), "framework")
+    handlers = interpret.routes(caught).select("file_path", "handler", F.concat_ws("::", "project", "handler", F.lit("route"), "method", "path").alias("source_node_id"))
+    asked = interpret.depends(caught).join(handlers, ["file_path", "handler"]).select("source_node_id", "ref_name", F.col("file_path").alias("source_file"), "framework")
+    refs = refs.unionByName(bound).unionByName(asked).distinct()
     resolved = pin(build.resolve(refs, nodes), "references")
     edges = edges.unionByName(edge(resolved.where("target is not null and target <> source_node_id").withColumn("source", F.col("source_node_id")).drop("relation"), "injects", 2))
     one = edges.groupBy("source", "target").agg(F.max(F.struct("_order", "relation", "confidence", "confidence_score", "source_file")).alias("b")).select("source", "target", "b.relation", "b.confidence", "b.confidence_score", "b.source_file")

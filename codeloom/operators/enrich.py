@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import first_literal, normal_path, path_pattern, segment_count
+from codeloom.functions.text import last_literal, normal_path, path_pattern, segment_count
 
 
 def routes_of(nodes: DataFrame) -> DataFrame:
@@ -16,9 +16,9 @@ def routes_of(nodes: DataFrame) -> DataFrame:
 
 
 def route_table(routes: DataFrame) -> DataFrame:
-    """One route per normalised path, the last by id; with its pattern, segment count and first literal segment."""
+    """One route per normalised path, the last by id; with its pattern, segment count, and place and text of its last literal segment."""
     best = routes.groupBy(normal_path(F.col("path")).alias("route_path")).agg(F.max(F.struct("id", "project")).alias("r"))
-    return best.select("route_path", F.col("r.id").alias("route_id"), F.col("r.project").alias("route_project"), path_pattern(F.col("route_path")).alias("pattern"), segment_count(F.col("route_path")).alias("segments"), first_literal(F.col("route_path")).alias("literal"))
+    return best.select("route_path", F.col("r.id").alias("route_id"), F.col("r.project").alias("route_project"), path_pattern(F.col("route_path")).alias("pattern"), segment_count(F.col("route_path")).alias("segments"), last_literal(F.col("route_path")).alias("l")).select("*", F.col("l.at").alias("at"), F.col("l.literal").alias("literal")).drop("l")
 
 
 def match_api_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
@@ -26,19 +26,20 @@ def match_api_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
     An exact path is taken first and, if its route is the caller's own, the call matches nothing.  Other calls
     match the first route by path whose pattern covers them; candidates come from an equi-join on the number of
-    segments and the first literal segment, never from all pairs.  A pattern that begins with a parameter is
-    joined on the number of segments alone.
+    segments and place and text of the pattern's last literal segment, the one that tells most, never from all pairs.
+    Only a pattern of nothing but parameters is joined on the number of segments alone.
     """
     own = calls.where(F.col("url").isNotNull()).select(F.col("id").alias("source"), F.col("project").alias("src_project"), normal_path(F.col("url")).alias("path")).distinct()
     table = route_table(routes)
     joined = own.join(table.select("route_path", "route_id", "route_project"), F.col("path") == F.col("route_path"), "left")
     different = ~F.col("src_project").eqNullSafe(F.col("route_project"))
     exact = joined.where(F.col("route_id").isNotNull() & different).select("source", F.col("route_id").alias("target"), F.lit("EXTRACTED").alias("confidence"), F.lit(1.0).alias("confidence_score"))
-    rest = joined.where("route_id is null").select("source", "src_project", "path").withColumn("segments", segment_count(F.col("path"))).withColumn("literal", first_literal(F.col("path")))
+    rest = joined.where("route_id is null").select("source", "src_project", "path").withColumn("segments", segment_count(F.col("path")))
     patterns = table.where(F.col("pattern").contains("[^/]+"))
-    leading = F.col("route_path").rlike("^/(:|\\{|\\[|<)")
-    by_literal = rest.join(patterns.where(~leading), ["segments", "literal"])
-    by_count = rest.join(patterns.where(leading).drop("literal"), "segments").select(*by_literal.columns)
+    cut = rest.select("*", F.posexplode(F.split("path", "/")).alias("at", "literal")).where("literal <> ''")
+    by_literal = cut.join(patterns.where("literal is not null"), ["segments", "at", "literal"])
+    by_count = rest.join(patterns.where("literal is null").drop("at", "literal"), "segments").select(*[c for c in by_literal.columns if c not in ("at", "literal")])
+    by_literal = by_literal.drop("at", "literal")
     hit = by_literal.unionByName(by_count).where(different & F.expr("path rlike concat('^', pattern, '$')"))
     first = hit.groupBy("source", "path").agg(F.min(F.struct("route_path", "route_id")).alias("r"))
     inferred = first.select("source", F.col("r.route_id").alias("target"), F.lit("INFERRED").alias("confidence"), F.lit(0.8).alias("confidence_score"))

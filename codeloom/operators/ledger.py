@@ -3,7 +3,7 @@
 A run subtracts the processed intervals from the ranges that are there, reads only rows in the gaps
 (late commits below the highest number included), and commits the merged intervals in the same step
 as its output.  A run that dies leaves no commit, so the next one does the same work again; a run
-that committed is never repeated.
+that committed is never repeated.  The first run is no special case: it subtracts nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from codeloom.operators.intervals import merge_within
 from codeloom.session import pin
 
 #: Ranges are cut at multiples of this, so that all work on them is per block and no range list reaches one task.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
+#: So many partial results are kept before a run folds them into one.
+COMPACT = 16
 
 
 def _cell(column: Column) -> Column:
@@ -57,8 +59,9 @@ class Commit:
 class Ledger:
     """Commits under one folder of the shared file system.
 
-    ``commits/<n>.json`` names the output folders and the folder of merged ranges; it appears by an
-    atomic rename, and of two runs that try the same number only one succeeds.
+    ``commits/<n>.json`` names the output folders and the folder of merged ranges.  It is created under its final name
+    and never over another, which decides between two runs that try the same number.  A commit whose writing broke
+    off can't be read and doesn't count; its number stays taken.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -72,19 +75,26 @@ class Ledger:
     def _fs(self):
         return self._path().getFileSystem(self._conf)
 
-    def latest(self) -> Commit:
+    def _numbers(self) -> list[int]:
         fs, at = self._fs(), self._path("commits")
-        if not fs.exists(at):
-            return Commit(0, None, [])
-        numbers = [int(s.getPath().getName()[:-5]) for s in fs.listStatus(at) if s.getPath().getName().endswith(".json")]
-        if not numbers:
-            return Commit(0, None, [])
-        stream = fs.open(self._path("commits", f"{max(numbers)}.json"))
-        try:
-            said = json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
-        return Commit(max(numbers), said["ranges"], said["outputs"])
+        return sorted(int(x.getPath().getName()[:-5]) for x in fs.listStatus(at) if x.getPath().getName().endswith(".json")) if fs.exists(at) else []
+
+    def latest(self) -> Commit:
+        """The last commit that was written whole."""
+        for number in reversed(self._numbers()):
+            stream = self._fs().open(self._path("commits", f"{number}.json"))
+            try:
+                said = json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+                return Commit(number, said["ranges"], said["outputs"])
+            except ValueError:
+                continue
+            finally:
+                stream.close()
+        return Commit(0, None, [])
+
+    def clear(self) -> None:
+        """Forget all commits and outputs; the next run processes everything."""
+        self._fs().delete(self._path(), True)
 
     def processed(self) -> DataFrame:
         """Processed ranges (cell, lo, hi); empty before the first commit."""
@@ -93,35 +103,37 @@ class Ledger:
 
     def gaps(self, df: DataFrame, seq: str) -> DataFrame:
         """Ranges of ``df`` that aren't processed yet."""
-        there = sequence_ranges(df, seq)
-        return there if self.latest().ranges is None else subtract_ranges(there, self.processed())
+        return subtract_ranges(sequence_ranges(df, seq), self.processed())
 
     def pending(self, df: DataFrame, seq: str, gaps: DataFrame) -> DataFrame:
-        """Rows of ``df`` whose number is in a gap, repeats included as delivered."""
-        own = df.where(F.col(seq).isNotNull())
-        if self.latest().ranges is None:
-            return own  # every range is a gap
-        mine, cells = own.withColumn("_cell", _cell(F.col(seq))), gaps.select(F.col("cell").alias("_c"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-        return mine.join(cells, (F.col("_cell") == F.col("_c")) & (F.col(seq) >= F.col("_lo")) & (F.col(seq) < F.col("_hi")), "left_semi").drop("_cell")
+        """Rows of ``df`` whose number is in a gap, repeats included as delivered.
+
+        Per block one sweep over rows and gaps by number: each row is held against the last gap that began before it.
+        """
+        rows = df.where(F.col(seq).isNotNull()).select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), _cell(F.col(seq)).alias("_cell"), F.col(seq).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_hi"))
+        starts = gaps.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col("cell").alias("_cell"), F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.col("hi").alias("_hi"))
+        so_far = Window.partitionBy("_cell").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        held = rows.unionByName(starts).withColumn("_end", F.last("_hi", ignorenulls=True).over(so_far))
+        return held.where((F.col("_kind") == 1) & (F.col("_at") < F.col("_end"))).select("_row.*")
 
     def commit(self, base: Commit, ranges: DataFrame, outputs: list[str]) -> Commit:
         """Commit ``outputs`` together with the merged ranges, on top of ``base``."""
         fs = self._fs()
         path = f"{self.folder}/ranges/{base.number + 1}-{uuid.uuid4().hex}"
-        new = ranges.select("cell", "lo", "hi")
-        merged = new if base.ranges is None else merge_within(self.processed().unionByName(new), ["cell"], "lo", "hi")
-        merged.write.parquet(path)
+        merge_within(self.processed().unionByName(ranges.select("cell", "lo", "hi")), ["cell"], "lo", "hi").write.parquet(path)
         fs.mkdirs(self._path("commits"))
-        text = json.dumps({"ranges": path, "outputs": outputs}).encode()
-        draft = self._path("commits", f".{uuid.uuid4().hex}.draft")
-        stream = fs.create(draft, False)
-        stream.write(bytearray(text))
-        stream.close()
-        target = self._path("commits", f"{base.number + 1}.json")
-        if fs.exists(target) or not fs.rename(draft, target):
-            fs.delete(draft, False)
-            raise RuntimeError(f"commit {base.number + 1} was made by another run")
-        return Commit(base.number + 1, path, outputs)
+        number = max([base.number, *self._numbers()]) + 1
+        if self.latest().number != base.number:
+            raise RuntimeError(f"another run has committed after {base.number}")
+        try:
+            stream = fs.create(self._path("commits", f"{number}.json"), False)
+        except Exception as error:  # the file system's own exception for a name that is taken
+            raise RuntimeError(f"commit {number} was made by another run") from error
+        try:
+            stream.write(bytearray(json.dumps({"ranges": path, "outputs": outputs}).encode()))
+        finally:
+            stream.close()
+        return Commit(number, path, outputs)
 
 
 class LatestByKey:
@@ -146,15 +158,21 @@ class LatestByKey:
         gaps = pin(self.ledger.gaps(log, seq), "gaps")  # read once: what commits is exactly what was processed
         if base.ranges is not None and gaps.isEmpty():
             return None
-        todo = self.ledger.pending(log, seq, gaps)
+        fresh = self._fold(enrich(self.ledger.pending(log, seq, gaps)))
         path = f"{self.ledger.folder}/output/{uuid.uuid4().hex}"
-        self._fold(enrich(todo)).write.parquet(path)
+        if len(base.outputs) >= COMPACT:
+            self._latest(fresh.unionByName(self.ledger.spark.read.schema(fresh.schema).parquet(*base.outputs))).write.parquet(path)
+            return self.ledger.commit(base, gaps, [path])
+        fresh.write.parquet(path)
         return self.ledger.commit(base, gaps, [*base.outputs, path])
 
+    def _latest(self, parts: DataFrame) -> DataFrame:
+        return parts.groupBy("key").agg(F.max("best").alias("best"))
+
     def state(self) -> DataFrame:
         """(key, best struct<o, v>) over all commits."""
         outputs = self.ledger.latest().outputs
         if not outputs:
             raise ValueError("nothing was committed yet")
         parts = self.ledger.spark.read.parquet(*outputs)
-        return parts if len(outputs) == 1 else parts.groupBy("key").agg(F.max("best").alias("best"))
+        return parts if len(outputs) == 1 else self._latest(parts)

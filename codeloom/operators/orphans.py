@@ -42,8 +42,8 @@ def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
     A span holds its start and not its end.  Repeated rows stay repeated; callers count distinct ids.
     """
     plain = refs.where(F.col("key").isNotNull()).withColumn("kind_key", F.concat_ws("\x1f", "key_kind", "key"))
-    plan = plan_loads(plain, "kind_key")
     moments = plain.select("kind_key", "seen_at").distinct()
+    plan = plan_loads(moments, "kind_key")  # by what is joined, not by what refers to it
     alive = (F.col("born") <= F.col("seen_at")) & (F.col("gone").isNull() | (F.col("seen_at") < F.col("gone")))
     missing = balanced_join(moments, spans, "kind_key", "left_anti", F.col("seen_at"), plan, alive)
     missing = missing.select(F.col("kind_key").alias("_kk"), F.col("seen_at").alias("_seen"))

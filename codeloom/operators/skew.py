@@ -2,6 +2,8 @@
 
 Keys are packed into tasks by their counted load.  A key above the fair share of a task is cut into
 shards in proportion to its load; the other side of a join is copied to those shards and nowhere else.
+Rows are sent to the very task the plan names (``place``), not to where a hash of it falls; joins and aggregates
+that include ``_task`` in their keys then run inside that task without another shuffle.
 What reaches the driver is bounded by the number of tasks: the heavy keys (at most ``HEAVY_PER_TASK``
 a task, as each holds that part of a fair share) and the loads of ``BUCKETS_PER_TASK`` hash buckets a task.
 """
@@ -47,6 +49,10 @@ class LoadPlan:
         shard = F.col("_shards")[F.pmod(F.xxhash64(spread), F.size("_shards")).cast("int")]
         return picked.withColumn("_task", F.coalesce(shard, own[self._bucket(F.col(key)).cast("int")])).drop("_heavy_key", "_shards")
 
+    def place(self, df: DataFrame) -> DataFrame:
+        """Send each row to the partition numbered by its ``_task``."""
+        return df.repartitionById(self.tasks, F.col("_task"))
+
     def replicate(self, df: DataFrame, key: str) -> DataFrame:
         """Give each row every ``_task`` that holds rows of its key."""
         own = F.array(*[F.lit(t) for t in self.bucket_task])
@@ -90,23 +96,34 @@ def plan_loads(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
     return LoadPlan(tasks, buckets, tuple(bucket_task), heavy, tuple(held))
 
 
-def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str, spread: Column, plan: LoadPlan, extra: Column | None = None, carry: Sequence[str] | None = None) -> DataFrame:
+def balanced_join(left: DataFrame, right: DataFrame, key: str, how: str, spread: Column, plan: LoadPlan, extra: Column | None = None, carry: Sequence[str] | None = None, keep_task: bool = False) -> DataFrame:
     """Join on ``key`` so that each task gets about the same number of left rows.
 
     ``how`` is inner, left, left_semi or left_anti; ``extra`` is a further condition in which the right
     columns bear their names (they must differ from the left ones); ``carry`` picks the right columns.
-    A null key matches nothing.  Right rows of split keys are copied to the shards of that key only.
+    A null key matches nothing.  Right rows of split keys are copied to the shards of that key only.  With ``keep_task``
+    the rows keep their ``_task``, so that ``aggregate_placed`` can go on in the same tasks.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"balanced_join can't do {how}")
     mark = uuid.uuid4().hex[:8]
     names = {"key": f"_k{mark}", "task": f"_t{mark}"}
-    a = plan.scatter(left, key, spread)
+    a = plan.place(plan.scatter(left, key, spread))
     b = plan.replicate(right.select(F.col(key), *[F.col(c) for c in (carry or [c for c in right.columns if c != key])]), key)
-    b = b.withColumnRenamed(key, names["key"]).withColumnRenamed("_task", names["task"])
+    b = plan.place(b).withColumnRenamed(key, names["key"]).withColumnRenamed("_task", names["task"])
     condition = (F.col("_task") == F.col(names["task"])) & (F.col(key) == F.col(names["key"]))
     joined = a.join(b, condition if extra is None else condition & extra, how)
-    return joined.drop("_task", names["key"], names["task"])
+    return joined.drop(names["key"], names["task"]) if keep_task else joined.drop("_task", names["key"], names["task"])
+
+
+_PARTIAL = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "distinct": F.count_distinct}
+_FINAL = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "distinct": F.sum}
+
+
+def aggregate_placed(placed: DataFrame, key: str, aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Per-key results of rows that lie where their ``_task`` says: inside each task first, then over the shards of split keys."""
+    first = placed.groupBy(key, "_task").agg(*[_PARTIAL[kind](column).alias(name) for name, (kind, column) in aggregates.items()])
+    return first.groupBy(key).agg(*[_FINAL[kind](name).alias(name) for name, (kind, _) in aggregates.items()])
 
 
 def balanced_aggregate(df: DataFrame, key: str, aggregates: dict[str, tuple[str, Column]], spread: Column, plan: LoadPlan) -> DataFrame:
@@ -115,8 +132,4 @@ def balanced_aggregate(df: DataFrame, key: str, aggregates: dict[str, tuple[str,
     ``aggregates`` maps a name to (kind, column), kind being count, sum, min, max or distinct.  For ``distinct``
     ``spread`` must be that column, so that a value meets its repeats in one shard and the counts add up.
     """
-    final = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "distinct": F.sum}
-    partial = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "distinct": F.count_distinct}
-    placed = plan.scatter(df, key, spread)
-    first = placed.groupBy(key, "_task").agg(*[partial[kind](column).alias(name) for name, (kind, column) in aggregates.items()])
-    return first.groupBy(key).agg(*[final[kind](name).alias(name) for name, (kind, _) in aggregates.items()])
+    return aggregate_placed(plan.place(plan.scatter(df, key, spread)), key, aggregates)

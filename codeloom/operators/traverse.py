@@ -27,17 +27,22 @@ def upstream(edges: DataFrame, start: DataFrame) -> DataFrame:
     return edges.join(start.select(F.col("id").alias("target")), "target").select(F.col("source").alias("id")).distinct().join(start.select("id"), "id", "left_anti")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 32) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
     """(place, id) of the shortest directed path, of several the one whose ids are smallest from the end backwards.
 
-    Empty if there is none within ``most`` steps; a node's path to itself is the node.  Each round keeps one parent
-    per node reached, so the state is one row a node.
+    Empty if there is none, or none within ``most`` steps where that is given; a node's path to itself is the node.
+    The search ends when nothing new is reached.  Each round keeps one parent per node reached, so the state is one
+    row a node.
     """
     spark = edges.sparkSession
     seen = spark.createDataFrame([(source, None, 0)], "id string, parent string, depth int")
     if source != target:
         steps, front = edges.select("source", "target").distinct(), seen
-        for k in range(1, most + 1):
+        k = 0
+        while True:
+            k += 1
+            if most is not None and k > most:
+                return spark.createDataFrame([], "place int, id string")
             found = steps.join(front.select(F.col("id").alias("source")), "source").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("parent"))
             front = pin(found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(k)), "front")
             if front.isEmpty():
@@ -45,10 +50,8 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int = 32) ->
             seen = seen.unionByName(front)
             if not front.where(F.col("id") == target).isEmpty():
                 break
-        else:
-            return spark.createDataFrame([], "place int, id string")
     path, at = [], target
-    while at is not None:  # one row a step, at most ``most``
+    while at is not None:  # one row a step
         row = seen.where(F.col("id") == at).first()
         path.append((row["depth"], at))
         at = row["parent"]

@@ -23,7 +23,9 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _changed(spark: SparkSession, d: str) -> DataFrame:
-    return changes.files_to_extract(spark, table(spark, d, "source_files"), table(spark, d, "local_extract_results"), table(spark, d, "wave_results"))
+    """Two runs: what had arrived halfway, then the rest, late records with low numbers among it."""
+    log = table(spark, d, "local_extract_results")
+    return changes.files_to_extract(spark, table(spark, d, "source_files"), log, table(spark, d, "wave_results"), arrivals=[changes.halfway(log)])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +40,7 @@ def p4_skipped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return hotkeys.hot_keys(table(spark, d, "edges")).select("key_field", "key_value")
+    return hotkeys.hot_keys(table(spark, d, "edges"), _nodes(spark, d)).select("key_field", "key_value")
 
 
 def _nodes(spark: SparkSession, d: str) -> DataFrame:

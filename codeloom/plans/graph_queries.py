@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.extract import interpret
 from codeloom.functions import text as fn
-from codeloom.operators import analyze, build, enrich, filters, serve, traverse
+from codeloom.operators import analyze, build, cache, enrich, filters, serve, traverse
 from codeloom.operators.components import connected_components
+from codeloom.sinks import articles
 from codeloom.sources import scan
 from codeloom.tables import table
 
@@ -163,11 +165,16 @@ def q22_command_match(spark, d):
 
 
 def _files(spark, d):
-    return table(spark, d, "source_files").where("file_path is not null").dropDuplicates(["file_path"])
+    """Rows as delivered, repeats included: what is found in them is made distinct, so that no text is shuffled."""
+    return table(spark, d, "source_files").where("file_path is not null").select("file_path", "project", "content")
+
+
+def _paths(spark, d):
+    return table(spark, d, "source_files").where("file_path is not null").groupBy("file_path").agg(F.max("project").alias("project"))
 
 
 def q23_url_extract(spark, d):
-    return _files(spark, d).select("file_path", F.explode(fn.extract_urls(F.col("content"))).alias("url"))
+    return _files(spark, d).select("file_path", F.explode(fn.extract_urls(F.col("content"))).alias("url")).distinct()
 
 
 def q24_url_normalize(spark, d):
@@ -183,7 +190,7 @@ def q26_resource_expand(spark, d):
     names = _nodes(spark, d).where("type = 'entity'").select(F.lower("label").alias("name")).distinct()
     actions = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(p).alias("suffix"), F.lit(a).alias("action")) for m, p, a in fn.RESOURCE_ROUTES])
     rows = names.select("name", F.explode(actions).alias("r"))
-    return rows.select(F.col("r.method").alias("method"), F.concat(F.lit("/"), "name", "r.suffix").alias("path"), F.concat("name", F.lit("#"), "r.action").alias("handler"))
+    return rows.select(F.col("r.method").alias("method"), F.concat(F.lit("/"), fn.resource_path(F.col("r.suffix"), F.col("name"))).alias("path"), F.concat("name", F.lit("#"), "r.action").alias("handler"))
 
 
 def q27_import_label(spark, d):
@@ -192,25 +199,23 @@ def q27_import_label(spark, d):
 
 
 def q28_language_vote(spark, d):
-    votes = _files(spark, d).groupBy("project", fn.extension(F.col("file_path")).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy("project").agg(F.max(F.struct("n", F.col("ext"))).alias("b"), F.sum("n").alias("n_files")).select("project", F.col("b.ext").alias("language"), F.col("b.n").alias("n"), "n_files")
+    return scan.dominant_language(_paths(spark, d))
 
 
 def q29_hash_cache(spark, d):
-    return _files(spark, d).select("file_path", F.sha2("content", 256).alias("content_hash"), F.substring(F.sha2("content", 256), 1, 12).alias("short_hash"), fn.colour(F.col("project")).alias("colour"))
+    return _files(spark, d).select("file_path", F.sha2("content", 256).alias("content_hash"), F.substring(F.sha2("content", 256), 1, 12).alias("short_hash"), fn.colour(F.col("project")).alias("colour")).distinct()
 
 
 def _cache(spark, d):
-    return table(spark, d, "local_extract_results").where("content_hash is not null").groupBy("file_path").agg(F.max(F.struct("result_id", "content_hash"))["content_hash"].alias("cached_hash"))
+    return cache.recorded_hashes(table(spark, d, "local_extract_results"))
 
 
 def q30_changed_files(spark, d):
-    now = q29_hash_cache(spark, d).select("file_path", "content_hash")
-    return now.join(_cache(spark, d), "file_path", "left").where("cached_hash is null or cached_hash <> content_hash").select("file_path", F.when(F.col("cached_hash").isNull(), "new").otherwise("changed").alias("state"))
+    return cache.changed(q29_hash_cache(spark, d).select("file_path", "content_hash"), _cache(spark, d))
 
 
 def q31_purged(spark, d):
-    return _cache(spark, d).select("file_path").join(_files(spark, d).select("file_path"), "file_path", "left_anti")
+    return cache.purged(_cache(spark, d), _paths(spark, d))
 
 
 def q32_components(spark, d):
@@ -268,19 +273,18 @@ def q42_controllers(spark, d):
 
 
 def q43_enclosing_range(spark, d):
-    """Each route in the last class above it in its file."""
+    """Each route in the last class above it in its file: a class reaches to the next one."""
     nodes = _nodes(spark, d).where("source_file is not null and line is not null")
-    scopes = nodes.where("type = 'class'").select("source_file", F.col("line").alias("top"), F.col("id").alias("class_id"))
-    inner = nodes.where("type in ('route', 'component')").select("id", "source_file", "line")
-    held = inner.join(scopes, "source_file").where("top <= line").groupBy("id").agg(F.max(F.struct("top", "class_id"))["class_id"].alias("class_id"))
-    return held
+    following = F.lead("line").over(Window.partitionBy("source_file").orderBy("line", "id"))
+    scopes = nodes.where("type = 'class'").select(F.col("source_file").alias("file_path"), F.col("line").alias("start"), F.coalesce(following, F.lit((1 << 31) - 1)).alias("end"), F.create_map(F.lit("name"), "id").alias("parts"))
+    inner = nodes.where("type in ('route', 'component')").select(F.col("source_file").alias("file_path"), F.col("type").alias("pattern"), F.col("id").alias("match_id"), F.col("line").alias("start"))
+    return interpret.enclosing(inner, scopes, "holder").where("holder is not null").select(F.col("match_id").alias("id"), F.col("holder.parts")["name"].alias("class_id"))
 
 
 def q44_adjacent_line(spark, d):
     """For each node the one before it in its file, and the lines between."""
     nodes = _nodes(spark, d).where("source_file is not null and line is not null")
-    order = Window.partitionBy("source_file").orderBy("line", "id")
-    return nodes.select("source_file", "id", F.lag("id").over(order).alias("before_id"), (F.col("line") - F.lag("line").over(order)).alias("gap")).where("before_id is not null")
+    return interpret.preceding(nodes.select("source_file", "id", "line"), "source_file", "line", "id", "id").select("source_file", "id", "before_id", "gap")
 
 
 def q45_common_prefix(spark, d):
@@ -299,9 +303,8 @@ def q47_link_qualify(spark, d):
 
 
 def q48_doc_refs(spark, d):
-    """Class names that doc comments refer to."""
-    words = _files(spark, d).select("file_path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("(?:@see |@throws |@link |:class:`|[*#] |\"\"\"|// )([A-Z][a-z]+[A-Z]\\w+)"), 1))).alias("name"))
-    return words.where(fn.is_type_name(F.col("name"))).select("file_path", "name")
+    """Class names that doc comments refer to, any word of two capitals at the head of a comment included."""
+    return interpret.doc_references(_files(spark, d), "(?:@see |@throws |@link |:class:`|[*#] |\"\"\"|// )([A-Z][a-z]+[A-Z]\\w+)", 1)
 
 
 def q49_project_rollup(spark, d):
@@ -320,14 +323,14 @@ def q51_reverse_edges(spark, d):
 
 def q52_route_segments(spark, d):
     """File-system routes: what a page's path stands for."""
-    files = _files(spark, d).where(F.col("file_path").rlike("/pages/"))
+    files = _paths(spark, d).where(F.col("file_path").rlike("/pages/"))
     rel = F.regexp_replace(F.regexp_extract("file_path", "/pages/(.*)$", 1), "\\.[a-z]+$", "")
     return files.select("file_path", fn.route_segments(rel).alias("route"), fn.route_segments(F.concat(F.lit("(group)/"), rel, F.lit("/[id]/[...rest]/index"))).alias("nested"))
 
 
 def q53_scan_rules(spark, d):
     """What a scan would take of the files: extension allowed, no ignored or hidden folder below the project."""
-    files = _files(spark, d).join(_roots(spark, d).groupBy("project").agg(F.min("root").alias("root")), "project", "left")
+    files = _paths(spark, d).join(_roots(spark, d).groupBy("project").agg(F.min("root").alias("root")), "project", "left")
     rel = F.when(F.col("file_path").startswith(F.col("root")), F.substring(F.col("file_path"), F.length("root") + 1, F.lit(1 << 30))).otherwise(F.col("file_path"))
     return files.where(scan.scannable(rel)).groupBy("project").agg(F.count(F.lit(1)).alias("n_files"))
 
@@ -341,8 +344,13 @@ def q54_wave_summary(spark, d):
 
 
 def q55_cache_stats(spark, d):
-    c = table(spark, d, "local_extract_results")
-    return c.agg(F.count_distinct("result_id").alias("n_results"), F.count_distinct("file_path").alias("n_files"), F.count_distinct("content_hash").alias("n_hashes"))
+    return cache.statistics(table(spark, d, "local_extract_results"))
+
+
+def q56_controller_routes(spark, d):
+    """The routes of each controller, by the words of their handlers."""
+    nodes = _nodes(spark, d).withColumn("detail", F.lit(None).cast("string"))
+    return articles.controller_routes(nodes).select("id", "project", F.explode("routes").alias("route"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q") and n[1:3].isdigit() and callable(f)}
@@ -382,11 +390,18 @@ _TOUCH = f"""{_CTE}, t AS (SELECT e.target AS entity, e.source AS node, a.projec
  UNION ALL SELECT e.source, e.target, b.project FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target WHERE a.type = 'entity' AND b.type IN ('class', 'route', 'component')),
 rep AS (SELECT entity, project, min(node) AS node FROM t WHERE project <> '' GROUP BY 1, 2),
 sh AS (SELECT x.node AS source, y.node AS target, list_sort(list(DISTINCT n.label)) AS labels FROM rep x JOIN rep y ON x.entity = y.entity AND x.project < y.project JOIN n ON n.id = x.entity GROUP BY 1, 2)"""
-_URLS = " || ".join(f"regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}', 1)" for p in fn.URL_PATTERNS)
-_URLROWS = f"{_CTE}, u AS (SELECT DISTINCT file_path, url FROM (SELECT file_path, trim(regexp_replace(unnest({_URLS}), '[?#].*$', '')) AS url FROM f) WHERE regexp_matches(url, '^/[a-zA-Z]'))"
-_SIMPLE = ", ".join(f"'{w}'" for w in fn.SIMPLE_TYPES)
+# written out here, not taken from the code under test
+_URL_TEXT = r"""(?:fetch|invoke|\$fetch)\s*\(\s*[`"']([^`"'$]+)[`"']
+axios\.\w+\b[^`"']*[`"']([^`"'$]+)[`"']
+(?:api|http|client|instance|request)\.\w+\b[^`"']*[`"']([^`"'$]+)[`"']
+url\s*[:=]\s*[`"']([^`"'$]+)[`"']
+["'](/api/[^"'`\s]+)["'`]
+"\{\}(/api/[^"'\s]+)"""
+_URLS = " || ".join(f"regexp_extract_all(content, '{p.replace(chr(39), chr(39) * 2)}', 1)" for p in _URL_TEXT.split("\n"))
+_URLROWS = f"{_CTE}, u AS (SELECT DISTINCT file_path, url FROM (SELECT file_path, trim(regexp_replace(unnest({_URLS}), '(?s)[?#].*$', '')) AS url FROM f) WHERE regexp_matches(url, '^/[a-zA-Z]'))"
+_SIMPLE = "'int', 'long', 'float', 'double', 'boolean', 'void', 'string', 'String', 'Integer', 'Long', 'Float', 'Double', 'Boolean', 'Object', 'any', 'unknown', 'never', 'undefined', 'null', 'true', 'false', 'str', 'bytes', 'list', 'dict', 'tuple', 'set', 'bool', 'type'"
 _CACHE = "ca AS (SELECT file_path, arg_max(content_hash, result_id) AS h FROM local_extract_results WHERE content_hash IS NOT NULL GROUP BY 1)"
-_RESOURCES = ", ".join(f"('{m}', '{p}', '{a}')" for m, p, a in fn.RESOURCE_ROUTES)
+_RESOURCES = "('GET', '', 'index'), ('GET', '/new', 'new'), ('POST', '', 'create'), ('GET', '/#', 'show'), ('GET', '/#/edit', 'edit'), ('PUT', '/#', 'update'), ('DELETE', '/#', 'destroy')"
 _PAIRS = "p AS (SELECT DISTINCT source AS id, target AS other FROM e WHERE source <> target UNION SELECT target, source FROM e WHERE source <> target)"
 
 
@@ -435,7 +450,7 @@ SQL = {
     "q23_url_extract": f"{_URLROWS} SELECT file_path, url FROM u",
     "q24_url_normalize": f"{_URLROWS} SELECT {_NORMAL.format('(url || ' + chr(39) + '/?x=1#top' + chr(39) + ')')} AS path, count(*) AS n FROM u GROUP BY 1",
     "q25_route_join": f"{_CTE}{_SCOPE} SELECT id, '/v1' || CASE WHEN trim(path, '/') = '' THEN '' ELSE '/' || trim(path, '/') END AS path, upper(method) AS method FROM r WHERE path <> ''",
-    "q26_resource_expand": f"{_CTE} SELECT m AS method, '/' || name || s AS path, name || '#' || a AS handler FROM (SELECT DISTINCT lower(label) AS name FROM n WHERE type = 'entity') CROSS JOIN (VALUES {_RESOURCES}) v(m, s, a)",
+    "q26_resource_expand": f"{_CTE} SELECT m AS method, '/' || name || replace(s, '#', ':' || regexp_replace(name, 's$', '') || '_id') AS path, name || '#' || a AS handler FROM (SELECT DISTINCT lower(label) AS name FROM n WHERE type = 'entity') CROSS JOIN (VALUES {_RESOURCES}) v(m, s, a)",
     "q27_import_label": "SELECT path, string_split(path, '/')[-1] AS of_file, string_split(path, '/')[-1] AS of_dotted FROM (SELECT DISTINCT unnest(imports) AS path FROM local_extract_results) WHERE path IS NOT NULL",
     "q28_language_vote": f"{_CTE} SELECT project, ext AS language, n, n_files FROM (SELECT project, {_EXT.format('file_path')} AS ext, count(*) AS n, sum(count(*)) OVER (PARTITION BY project)::BIGINT AS n_files FROM f GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, ext DESC) = 1",
     "q29_hash_cache": f"{_CTE} SELECT file_path, sha256(content) AS content_hash, substring(sha256(content), 1, 12) AS short_hash, ('0x' || substring(md5(project), 1, 6))::INT AS colour FROM f",
@@ -460,7 +475,7 @@ SQL = {
  y AS (SELECT x.* FROM x JOIN h ON h.id = x.id QUALIFY row_number() OVER (PARTITION BY x.id, direction ORDER BY other, relation) <= 5) SELECT h.id, label, type, direction, other, relation FROM h LEFT JOIN y ON y.id = h.id""",
     "q40_routes_list": f"{_CTE}{_SCOPE} SELECT project, method, path, handler, id FROM r WHERE path <> '' AND contains(lower(project), 'api') ORDER BY project, method, path, id LIMIT 50",
     "q41_services_list": f"{_CTE} SELECT project, label, framework, id FROM n WHERE type = 'class' AND contains(lower(project), 'jobs') ORDER BY project, label, id LIMIT 50",
-    "q42_controllers": f"{_CTE} SELECT id, label, CASE type WHEN 'route' THEN 'Route' WHEN 'entity' THEN 'Entity' WHEN 'component' THEN 'Component' WHEN 'external' THEN 'External' ELSE 'Controller' END AS display FROM n WHERE regexp_matches(label, '(Controller|Router|Handler|Resource)$')",
+    "q42_controllers": f"{_CTE} SELECT id, label, CASE type WHEN 'route' THEN 'API Route' WHEN 'entity' THEN 'Entity' WHEN 'component' THEN 'Frontend Component' WHEN 'class' THEN CASE WHEN label LIKE '%Controller' THEN 'Controller' WHEN label LIKE '%Repository' THEN 'Repository' ELSE 'Service' END ELSE upper(type[1]) || type[2:] END AS display FROM n WHERE regexp_matches(label, '(Controller|Router|Handler|Resource)$')",
     "q43_enclosing_range": f"{_CTE} SELECT i.id, arg_max(c.id, lpad(c.line::VARCHAR, 12, '0') || c.id) AS class_id FROM n i JOIN n c ON c.source_file = i.source_file AND c.type = 'class' AND c.line <= i.line WHERE i.type IN ('route', 'component') GROUP BY 1",
     "q44_adjacent_line": f"{_CTE} SELECT * FROM (SELECT source_file, id, lag(id) OVER w AS before_id, line - lag(line) OVER w AS gap FROM n WHERE source_file IS NOT NULL AND line IS NOT NULL WINDOW w AS (PARTITION BY source_file ORDER BY line, id)) WHERE before_id IS NOT NULL",
     "q45_common_prefix": f"""{_CTE}, b AS (SELECT project, string_split(min({_FOLDER.format('source_file')}), '/') AS x FROM n WHERE source_file IS NOT NULL AND project <> '' GROUP BY 1),
@@ -470,14 +485,16 @@ SQL = {
     "q46_note_dedupe": f"""{_CTE} SELECT source_file, id, label, regexp_replace(label, '[<>:"/\\\\|?*\\s]+', '_', 'g') AS note, c AS n_nodes FROM (SELECT *, count(*) OVER (PARTITION BY source_file) AS c, row_number() OVER (PARTITION BY source_file ORDER BY CASE type WHEN 'entity' THEN 0 WHEN 'class' THEN 1 WHEN 'component' THEN 2 ELSE 3 END, label, id) AS rn FROM n WHERE source_file IS NOT NULL) WHERE rn = 1""",
     "q47_link_qualify": f"""{_CTE}, l AS (SELECT DISTINCT e.source, a.project, b.label AS name FROM e JOIN n a ON a.id = e.source JOIN n b ON b.id = e.target), k AS (SELECT DISTINCT label AS name, project FROM n WHERE project <> ''), o AS (SELECT name, count(*) AS c, min(project) AS only_one FROM k GROUP BY 1)
  SELECT l.source, l.project, l.name, CASE WHEN k.name IS NOT NULL THEN l.project WHEN o.c = 1 THEN o.only_one END AS target_project FROM l LEFT JOIN k ON k.name = l.name AND k.project = l.project LEFT JOIN o ON o.name = l.name""",
-    "q48_doc_refs": f"{_CTE} SELECT file_path, name FROM (SELECT DISTINCT file_path, unnest(regexp_extract_all(content, '(?:@see |@throws |@link |:class:`|[*#] |\"\"\"|// )([A-Z][a-z]+[A-Z]\\w+)', 1)) AS name FROM f) WHERE length(name) >= 2 AND lower(name) NOT IN ({_SIMPLE})",
+    "q48_doc_refs": f"{_CTE} SELECT file_path, name FROM (SELECT DISTINCT file_path, unnest(regexp_extract_all(content, '(?:@see |@throws |@link |:class:`|[*#] |\"\"\"|// )([A-Z][a-z]+[A-Z]\\w+)', 1)) AS name FROM f) WHERE length(name) >= 2 AND name NOT IN ({_SIMPLE})",
     "q49_project_rollup": f"{_CTE} SELECT project, count(*) AS n_nodes, count(*) FILTER (type = 'route') AS n_route, count(*) FILTER (type = 'class') AS n_class, count(*) FILTER (type = 'entity') AS n_entity, count(*) FILTER (type = 'component') AS n_component, grouping(project)::INT AS is_total FROM n GROUP BY ROLLUP (project)",
-    "q50_type_name": f"{_CTE} SELECT word FROM (SELECT DISTINCT unnest(regexp_extract_all(content, '\\b([A-Za-z]\\w*) \\w+ ?[=;]', 1)) AS word FROM f) WHERE length(word) >= 2 AND lower(word) NOT IN ({_SIMPLE}) AND regexp_matches(word, '^[A-Z]')",
-    "q51_reverse_edges": f"{_CTE} SELECT relation, count(*) AS n FROM (SELECT relation FROM e UNION ALL SELECT CASE relation {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in fn.REVERSE_RELATIONS.items())} ELSE '←' || relation END FROM e) GROUP BY 1",
+    "q50_type_name": f"{_CTE} SELECT word FROM (SELECT DISTINCT unnest(regexp_extract_all(content, '\\b([A-Za-z]\\w*) \\w+ ?[=;]', 1)) AS word FROM f) WHERE length(word) >= 2 AND word NOT IN ({_SIMPLE}) AND regexp_matches(word, '^[A-Z]')",
+    "q51_reverse_edges": f"{_CTE} SELECT relation, count(*) AS n FROM (SELECT relation FROM e UNION ALL SELECT CASE relation WHEN 'imports' THEN 'imported_by' WHEN 'imports_from' THEN 'imported_by' WHEN 'calls' THEN 'called_by' WHEN 'injects' THEN 'injected_by' WHEN 'calls_api' THEN 'api_called_by' WHEN 'shares_db_entity' THEN 'shares_db_entity' ELSE '←' || relation END FROM e) GROUP BY 1",
     "q52_route_segments": f"""{_CTE}, s AS (SELECT file_path, regexp_replace(regexp_extract(file_path, '/pages/(.*)$', 1), '\\.[a-z]+$', '') AS rel FROM f WHERE contains(file_path, '/pages/'))
  SELECT file_path, '/' || array_to_string(list_filter(string_split(rel, '/'), lambda x: x <> '' AND x <> 'index'), '/') AS route, '/' || array_to_string(list_filter(string_split(rel || '/:id/*', '/'), lambda x: x <> '' AND x <> 'index'), '/') AS nested FROM s""",
     "q53_scan_rules": f"""{_CTE}, s AS (SELECT f.project, string_split(ltrim(CASE WHEN root IS NOT NULL AND starts_with(file_path, root) THEN substring(file_path, length(root) + 1) ELSE file_path END, '/'), '/') AS parts, regexp_extract(file_path, '(\\.[^./]+)$', 1) AS ext FROM f LEFT JOIN roots ON roots.project = f.project)
- SELECT project, count(*) AS n_files FROM s WHERE ext IN ({', '.join(repr(x) for x in scan.CODE_EXTENSIONS)}) AND len(parts) - 1 <= {scan.MAX_DEPTH} AND len(list_intersect(parts[1:len(parts) - 1], {scan.IGNORED_FOLDERS!r})) = 0 AND len(list_filter(parts[1:len(parts) - 1], lambda x: starts_with(x, '.'))) = 0 GROUP BY 1""",
+ SELECT project, count(*) AS n_files FROM s WHERE ext IN ('.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.py', '.go', '.vue', '.svelte', '.rb', '.java', '.kt', '.rs', '.php', '.swift', '.cs', '.ex', '.exs', '.dart', '.scala', '.clj', '.hs', '.graphql', '.gql', '.proto', '.sql') AND len(parts) - 1 <= {scan.MAX_DEPTH} AND len(list_intersect(parts[1:len(parts) - 1], string_split('node_modules .git .next .nuxt .svelte-kit __pycache__ .venv venv env .env dist build out .output coverage .turbo .vercel .codesight .ai-codex vendor .cache .parcel-cache .gradle target .idea .vscode tmp temp .DS_Store bin obj .bundle public .terraform', ' '))) = 0 AND len(list_filter(parts[1:len(parts) - 1], lambda x: starts_with(x, '.'))) = 0 GROUP BY 1""",
+    "q56_controller_routes": f"""{_CTE}{_SCOPE} SELECT DISTINCT c.id, c.project, r.method || ' ' || r.path AS route FROM n c JOIN r ON r.project = c.project AND list_contains(regexp_extract_all(r.handler, '[A-Za-z_]\\w*'), c.label)
+ WHERE c.type = 'class' AND regexp_matches(c.label, '(Controller|Router|Handler|Resource)$') AND r.path <> ''""",
     "q54_wave_summary": """SELECT project, count(*) AS n_waves, sum(ok)::BIGINT AS n_ok, sum(fc)::BIGINT AS file_count, sum(sc)::BIGINT AS skipped_count FROM (SELECT wave_id, project, max(CASE WHEN lower(trim(status)) = 'ok' THEN 1 ELSE 0 END) AS ok, max(file_count) AS fc,
  max(greatest(least(skipped_count, file_count), 0)) AS sc FROM wave_results WHERE wave_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1""",
     "q55_cache_stats": "SELECT count(DISTINCT result_id) AS n_results, count(DISTINCT file_path) AS n_files, count(DISTINCT content_hash) AS n_hashes FROM local_extract_results",

@@ -31,13 +31,13 @@ class Server:
         elif name == "path":
             found = self.engine.path(args["source"], args["target"]).orderBy("place")
         elif name == "blast_radius":
-            found = self.engine.blast_radius(args["node"], int(args.get("depth", 2))).orderBy("direction", "depth", "id").limit(1000)
+            found = self.engine.blast_radius(args["node"], int(args.get("depth", 2))).orderBy("direction", "depth", "id")
         elif name == "routes":
             found = self.engine.routes(args.get("project"), int(args.get("limit", 50)))
         else:
             found = self.engine.services(args.get("project"), int(args.get("limit", 50)))
-        rows = found.collect()
-        return "\n".join("- " + ", ".join(str(v) for v in row if v is not None) for row in rows) or "Nothing found"
+        lines = ("- " + ", ".join(str(v) for v in row if v is not None) for row in found.toLocalIterator())  # a partition at a time
+        return "\n".join(lines) or "Nothing found"
 
     def _wiki(self, path: str | None) -> str:
         if self.wiki is None or not self.wiki.is_dir():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,11 +28,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def work_folder(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in tests on one machine, a local folder is made and set.
+    Where the setting is absent a local folder is made and set, but only if master and executors are one machine; a
+    cluster without the setting is refused.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="codeloom-", dir=os.environ.get("TMPDIR"))
     spark.conf.set("spark.checkpoint.dir", made)
     spark.sparkContext.setCheckpointDir(made)

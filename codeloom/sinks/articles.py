@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import colour, is_controller, markdown_link, reverse_relation, safe_name, type_display
 from codeloom.graph import Graph
 from codeloom.operators import analyze, serve
+from codeloom.operators.enrich import routes_of
 
 #: Links shown per node and relation; what is left out is counted.
 SHOWN = 50
@@ -49,6 +50,19 @@ def _link_lists(graph: Graph, link: Column) -> DataFrame:
     return lines.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(part)), "\n\n").alias("links"))
 
 
+def controller_routes(nodes: DataFrame) -> DataFrame:
+    """(id, project, routes): of each controller the routes of its project whose handler is one of its methods.
+
+    A handler names its controller as a word of it (``UserController.list``, ``UserController@list``,
+    ``users#index`` is none), so handlers are cut into words and joined on project and word.
+    """
+    words = F.explode(F.array_distinct(F.regexp_extract_all("handler", F.lit("[A-Za-z_]\\w*"), 0)))
+    handlers = routes_of(nodes).select("project", words.alias("word"), F.format_string("%s %s", "method", "path").alias("route"))
+    marks = F.from_json("detail", "annotations array<string>")["annotations"]
+    own = nodes.where((F.col("type") == "class") & is_controller(F.col("label"), marks)).select("id", "project", F.col("label").alias("word"))
+    return own.join(handlers, ["project", "word"]).groupBy("id", "project").agg(F.array_sort(F.collect_set("route")).alias("routes"))
+
+
 def _article_path(project: Column, kind: Column, label: Column) -> Column:
     return F.concat(F.when(project != "", project).otherwise(F.lit("external")), F.lit("/"), kind, F.lit("/"), safe_name(label), F.lit(".md"))
 
@@ -60,8 +74,9 @@ def wiki(graph: Graph) -> DataFrame:
     """
     n = graph.nodes.where("type <> 'external' and project <> '' and label is not null")
     link = markdown_link(F.col("other_label"), F.concat(F.lit("../../"), _article_path(F.coalesce("other_project", F.lit("")), F.lit("all"), F.col("other_label"))))
-    rows = n.join(_link_lists(graph, link), "id", "left")
-    body = F.concat(F.lit("# "), "label", F.lit("\n\n"), type_display(F.col("type"), F.col("label")), F.lit(" in "), "project", F.coalesce(F.format_string("\n\nSource: %s:%d", "source_file", "line"), F.lit("")), F.coalesce(F.concat(F.lit("\n\n```json\n"), "detail", F.lit("\n```")), F.lit("")), F.coalesce(F.concat(F.lit("\n\n"), "links"), F.lit("")), F.lit("\n"))
+    served = controller_routes(n).select("id", F.array_join(F.transform("routes", lambda r: F.concat(F.lit("- "), r)), "\n").alias("served"))
+    rows = n.join(_link_lists(graph, link), "id", "left").join(served, "id", "left")
+    body = F.concat(F.lit("# "), "label", F.lit("\n\n"), type_display(F.col("type"), F.col("label"), F.from_json("detail", "annotations array<string>")["annotations"]), F.lit(" in "), "project", F.coalesce(F.format_string("\n\nSource: %s:%d", "source_file", "line"), F.lit("")), F.coalesce(F.concat(F.lit("\n\n```json\n"), "detail", F.lit("\n```")), F.lit("")), F.coalesce(F.concat(F.lit("\n\n## Routes\n"), "served"), F.lit("")), F.coalesce(F.concat(F.lit("\n\n"), "links"), F.lit("")), F.lit("\n"))
     pages = rows.groupBy(_article_path(F.col("project"), F.lit("all"), F.col("label")).alias("path")).agg(F.min(F.struct("id", body.alias("content")))["content"].alias("content"))
     counts = analyze.project_counts(n).where("is_total = 0")
     index = counts.select(F.concat("project", F.lit("/index.md")).alias("path"), F.format_string("# %s\n\n| kind | nodes |\n|---|---|\n| route | %d |\n| class | %d |\n| entity | %d |\n| component | %d |\n", "project", "n_route", "n_class", "n_entity", "n_component").alias("content"))
@@ -72,7 +87,7 @@ def wiki(graph: Graph) -> DataFrame:
     per = crossing.groupBy("relation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("t"))
     cross = per.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("## "), "relation", F.lit("\n"), "t"))), "\n\n").alias("t")).select(F.lit("cross-project.md").alias("path"), F.concat(F.lit("# Connections between projects\n\n"), F.coalesce("t", F.lit("")), F.lit("\n")).alias("content"))
     routes = n.where("type = 'route'").groupBy("project").agg(F.count(F.lit(1)).alias("n"))
-    first = n.where("type = 'route'").withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy("label", "id"))).where("rank <= 500").groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: F.concat(F.lit("- "), x["label"])), "\n").alias("t"))
+    first = n.where("type = 'route'").withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy("label", "id"))).groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: F.concat(F.lit("- "), x["label"])), "\n").alias("t"))
     listing = routes.join(first, "project").select(F.concat("project", F.lit("/routes.md")).alias("path"), F.format_string("# Routes of %s (%d)\n\n%s\n", "project", "n", "t").alias("content"))
     return pages.unionByName(index).unionByName(overview).unionByName(cross).unionByName(listing)
 
@@ -92,34 +107,42 @@ def vault(graph: Graph) -> DataFrame:
     spurious = F.col("relation").isin("imports", "imports_from") & ((F.col("f1").rlike(jvm) & F.col("f2").rlike(js)) | (F.col("f1").rlike(js) & F.col("f2").rlike(jvm)))
     links = graph.edges.select("source", "target", "relation").join(a, "source").join(b, "target").where(~spurious).where((F.col("n1") != F.col("n2")) | (F.col("p1") != F.col("p2"))).select("p1", "n1", "relation", "p2", "n2").distinct()
     both = links.unionByName(links.select(F.col("p2").alias("p1"), F.col("n2").alias("n1"), reverse_relation(F.col("relation")).alias("relation"), F.col("p1").alias("p2"), F.col("n1").alias("n2")))
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("p1", "n1").orderBy("relation", "p2", "n2"))).where(F.col("rank") <= 4 * SHOWN)
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("p1", "n1").orderBy("relation", "p2", "n2")))
     lines = ranked.groupBy(F.col("p1").alias("project"), F.col("n1").alias("note")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- "), "relation", F.lit(": [["), "p2", F.lit("/"), "n2", F.lit("]]")).alias("l")))), lambda x: x["l"]), "\n").alias("t"))
     said = graph.nodes.where("source_file is not null").select("source_file", F.explode(F.from_json("detail", "dependencies array<string>")["dependencies"]).alias("member"))
     members = said.where(~F.col("member").rlike(ACCESSOR)).groupBy("source_file").agg(F.array_join(F.array_sort(F.collect_set("member")), ", ").alias("members"))
     placed = placed.join(members, "source_file", "left")
     body = F.concat(F.lit("---\nproject: "), "project", F.lit("\ntype: "), "type", F.lit("\ncolor: "), colour(F.col("project")).cast("string"), F.lit("\n---\n# "), "label", F.lit("\n\nSource: "), "source_file", F.coalesce(F.concat(F.lit("\n\nMembers: "), "members"), F.lit("")), F.lit("\n\n"), F.coalesce("t", F.lit("")), F.lit("\n\n[[_"), "project", F.lit("]]\n"))
     notes = placed.join(lines, ["project", "note"], "left").select(F.concat("project", F.lit("/"), "note", F.lit(".md")).alias("path"), body.alias("content"))
-    hub_rank = placed.withColumn("at", F.row_number().over(Window.partitionBy("project").orderBy("note"))).where("at <= 1000")
+    hub_rank = placed.withColumn("at", F.row_number().over(Window.partitionBy("project").orderBy("note")))
     hubs = hub_rank.groupBy("project").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- [["), "project", F.lit("/"), "note", F.lit("]]")))), "\n").alias("t")).select(F.concat("project", F.lit("/_"), "project", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "project", F.lit("\n\n"), "t", F.lit("\n")).alias("content"))
-    return notes.unionByName(hubs)
+    return notes.unionByName(hubs).unionByName(loose_notes(graph, placed))
+
+
+def loose_notes(graph: Graph, placed: DataFrame) -> DataFrame:
+    """(path, content) of a list per project of the nodes without a note: those in no file, and those whose file's note another file took."""
+    own = graph.nodes.where("project <> '' and type <> 'external'").join(placed.select("source_file"), "source_file", "left_anti")
+    line = F.concat(F.lit("- "), "label", F.lit(" ("), "type", F.lit(")"), F.coalesce(F.concat(F.lit(" in "), "source_file"), F.lit("")))
+    listed = own.groupBy("project").agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("t"))
+    return listed.select(F.concat("project", F.lit("/_"), "project", F.lit(" others.md")).alias("path"), F.concat(F.lit("# Others of "), "project", F.lit("\n\n"), "t", F.lit("\n")).alias("content"))
 
 
 def report(graph: Graph, groups: DataFrame | None = None) -> str:
-    """The Markdown report; every list in it is capped."""
+    """The Markdown report: top lists, and a line per community."""
     stats = analyze.graph_stats(graph.nodes, graph.edges).first()
     out = ["# Graph report", "", f"- nodes: {stats['n_nodes']}", f"- edges: {stats['n_edges']}", f"- density: {stats['density']:.6f}", f"- isolated nodes: {stats['n_isolated']}", "", "## Folders most coupled", ""]
     out += [f"- {r['project']} {r['folder_path']}: degree {r['degree']} (in {r['in_degree']}, out {r['out_degree']}), {r['child_count']} nodes" for r in analyze.folder_coupling(graph.nodes, graph.edges, top=10).collect()]
     groups = groups if groups is not None else graph.nodes.where("project <> ''").select("id", F.col("project").alias("community"))
     out += ["", "## Surprising connections", ""] + [f"- {r['source_label']} → {r['target_label']} ({r['relation']})" for r in analyze.surprising_connections(graph.nodes, graph.edges, groups, 10).collect()]
     out += ["", "## Hub files", ""] + [f"- {r['file_path']}: {r['import_count']} imports, {r['node_count']} nodes" for r in analyze.hub_files(graph.nodes, graph.edges, 10).collect()]
-    out += ["", "## Cohesion", ""] + [f"- {r['community']}: {r['cohesion']:.3f}" for r in analyze.cohesion(graph.edges, groups).orderBy("community").limit(200).collect()]
+    out += ["", "## Cohesion", ""] + [f"- {r['community']}: {r['cohesion']:.3f}" for r in analyze.cohesion(graph.edges, groups).orderBy("community").collect()]
     return "\n".join(out) + "\n"
 
 
 def context_block(graph: Graph) -> str:
     """A summary for context files: projects, their counts and commands, and the top files."""
     n = graph.nodes.where("project <> ''")
-    rows = analyze.project_counts(n).where("is_total = 0").join(n.groupBy("project").agg(F.max("framework").alias("framework"), F.count_if(is_controller(F.col("label"))).alias("n_controllers")), "project").withColumn("commands", commands_of(F.col("framework"))).orderBy("project").limit(500).collect()
+    rows = analyze.project_counts(n).where("is_total = 0").join(n.groupBy("project").agg(F.max("framework").alias("framework"), F.count_if(is_controller(F.col("label"))).alias("n_controllers")), "project").withColumn("commands", commands_of(F.col("framework"))).orderBy("project").collect()
     out = ["## Code map", ""]
     out += [f"- {r['project']} ({r['framework'] or 'unknown'}): {r['n_route']} routes, {r['n_class']} classes, {r['n_controllers']} controllers, {r['n_entity']} entities, {r['n_component']} components" + (f"; run: {r['commands']}" if r["commands"] else "") for r in rows]
     out += ["", "Most imports:", ""] + [f"- {r['file_path']} ({r['import_count']})" for r in analyze.hub_files(graph.nodes, graph.edges, 5).collect()]

@@ -66,12 +66,65 @@ def test_plan_splits_in_proportion(make):
     assert max(plan.loads) <= 1.5 * 100
 
 
+NODES = "id string, label string, project string, source_file string, first_seen_at timestamp_ntz"
+
+
 def test_hot_keys(make):
     ddl = "edge_id long, source string, target string, relation string, source_file string, seen_at timestamp_ntz, ingested_at timestamp_ntz"
     rows = [(i, "s", "hot" if i < 30 else f"t{i}" if i < 95 else None, "imports_from" if i < 50 else "calls", "f" if i < 10 else None, at(1), at(2)) for i in range(100)]
-    got = hotkeys.hot_keys(make(rows + rows[:40], ddl), 0.04).collect()
-    assert sorted((r["key_field"], r["key_value"], r["n_edges"]) for r in got) == [("edges.source_file", "f", 10), ("edges.target", "hot", 30)]
-    assert hotkeys.hot_keys(make([], ddl)).count() == 0
+    nodes = make([("hot", "Hot", "p", "f", at(1)), ("hot", "Hot", "p", "f", at(1)), ("h2", "H2", "p", "f", None)], NODES)
+    got = hotkeys.hot_keys(make(rows + rows[:40], ddl), nodes, 0.04).collect()
+    assert sorted((r["key_field"], r["key_value"], r["label"], r["n_edges"]) for r in got) == [("edges.source_file", "f", "2", 10), ("edges.target", "hot", "Hot", 30)]
+    assert hotkeys.hot_keys(make([], ddl), nodes.limit(0)).count() == 0
+
+
+def test_rows_lie_where_the_plan_says(make):
+    """The load plan is executed: partitions hold what it promises, and no second shuffle scatters them again."""
+    rows = [("hot", i) for i in range(6000)] + [("warm", i) for i in range(2500)] + [(f"k{i % 700}", i) for i in range(9000)]
+    df = make(rows, "k string, n long")
+    plan = skew.plan_loads(df, "k", 8)
+    placed = plan.place(plan.scatter(df, "k", F.col("n")))
+    sizes = {r["p"]: r["c"] for r in placed.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    mean = len(rows) / 8
+    assert len(sizes) == 8 and max(sizes.values()) <= 1.2 * mean and min(sizes.values()) >= 0.8 * mean
+    assert placed.where(F.spark_partition_id() != F.col("_task")).count() == 0
+    right = make([(k, k.upper()) for k in {r[0] for r in rows}], "k string, name string")
+    joined = skew.balanced_join(df, right, "k", "inner", F.col("n"), plan, keep_task=True)
+    result = skew.aggregate_placed(joined, "k", {"c": ("count", F.lit(1))})
+    assert {r["k"]: r["c"] for r in result.where("k in ('hot', 'warm', 'k1')").collect()} == {"hot": 6000, "warm": 2500, "k1": 13}
+    text = result._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY_NUM") == 2 and text.count("Exchange") - text.count("BroadcastExchange") <= 4, text
+
+
+def test_a_run_that_dies_between_output_and_commit_is_done_again(make, spark, tmp_path, monkeypatch):
+    waves = make([(i, at(i), "ok") for i in range(1, 9)], WAVES)
+    rows = [(i, 1 + i % 8, f"f{i % 5}", f"h{i}") for i in range(1, 31)]
+    book = changes.latest_records(spark, f"file://{tmp_path}/dies")
+    early, whole = (make(r, LOG).join(waves, "wave_id") for r in ([r for r in rows if r[0] % 3], rows))
+    book.run(early, "result_id")
+    with monkeypatch.context() as m:
+        m.setattr(ledger.Ledger, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            book.run(whole, "result_id")
+    assert book.ledger.latest().number == 1  # the output without a commit doesn't count
+    todo = book.ledger.pending(whole, "result_id", book.ledger.gaps(whole, "result_id"))
+    assert sorted(r["result_id"] for r in todo.collect()) == [r[0] for r in rows if r[0] % 3 == 0]
+    assert book.run(whole, "result_id").number == 2
+    once = changes.latest_records(spark, f"file://{tmp_path}/once2")
+    once.run(whole, "result_id")
+    assert sorted(map(str, book.state().collect())) == sorted(map(str, once.state().collect()))
+    (tmp_path / "dies" / "commits" / "3.json").write_text('{"ranges": ')  # a commit whose writing broke off
+    assert book.ledger.latest().number == 2 and book.run(whole, "result_id") is None
+
+
+def test_outputs_are_compacted(make, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ledger, "COMPACT", 2)
+    book = changes.latest_records(spark, f"file://{tmp_path}/many")
+    waves = make([(i, at(i), "ok") for i in range(1, 9)], WAVES)
+    for k in range(1, 5):
+        book.run(make([(i, 1 + i % 8, f"f{i % 3}", f"h{i}") for i in range(1, 5 * k)], LOG).join(waves, "wave_id"), "result_id")
+    assert len(book.ledger.latest().outputs) <= 2
+    assert book.state().count() == 3
 
 
 def test_target_degrees_keeps_targets_without_node(make):
@@ -155,7 +208,7 @@ def test_extra_columns_with_clashing_names(make, spark):
     assert changes.files_to_extract(spark, files, log, waves).count() == 0
     edges = more(make([(i, "a", "x", "imports_from", "f") for i in range(9)], "edge_id long, source string, target string, relation string, source_file string"), "_task", "key", "n", "key_value", "total", "node", "label", "folder")
     nodes = more(make([("x", "X", "p", "/r/f.py", at(1)), ("a", "A", "p", "/q/f.py", at(1))], "id string, label string, project string, source_file string, first_seen_at timestamp_ntz"), "target", "source", "_task", "folder", "node", "born")
-    assert hotkeys.hot_keys(edges).count() == 2
+    assert hotkeys.hot_keys(edges, nodes).count() == 2
     assert hotkeys.target_degrees(edges, nodes).first()["n_edges"] == 9
     assert sorted(r["degree"] for r in hotkeys.folder_degrees(edges, nodes).collect()) == [9, 9]
     seen = more(edges.withColumn("seen_at", F.lit(at(5)).cast("timestamp_ntz")), "ref_table", "born", "kind_key")

@@ -37,7 +37,7 @@ def test_discovery(spark, tree):
     assert paths == ["shop-api/app/main.py", "shop-api/app/store.py", "shop-api/skip/me.py", "shop-web/src/pages/UserPage.tsx"]
     rows = [(f"/r/{k}", v) for k, v in TREE.items()]
     got = {r["name"]: (r["framework"], r["language"]) for r in scan.detect_projects(spark.createDataFrame(rows, "file_path string, content string")).collect()}
-    assert got == {"shop-api": ("fastapi", "python"), "shop-web": ("react", "javascript")}
+    assert got == {"shop-api": ("fastapi", "python"), "shop-web": ("react", "typescript")}
     sections = scan.component_sections(spark.createDataFrame([("a.vue", "<template><p/></template><script lang='ts'>x</script>")], "file_path string, content string")).first()
     assert tuple(sections)[1:] == ("ts", "x", "<p/>")
 
