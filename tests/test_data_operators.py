@@ -66,13 +66,13 @@ def test_plan_splits_in_proportion(make):
     assert max(plan.loads) <= 1.5 * 100
 
 
-NODES = "id string, label string, project string, source_file string, first_seen_at timestamp_ntz"
+HUB_NODES = "id string, label string, project string, source_file string, first_seen_at timestamp_ntz"
 
 
 def test_hot_keys(make):
     ddl = "edge_id long, source string, target string, relation string, source_file string, seen_at timestamp_ntz, ingested_at timestamp_ntz"
     rows = [(i, "s", "hot" if i < 30 else f"t{i}" if i < 95 else None, "imports_from" if i < 50 else "calls", "f" if i < 10 else None, at(1), at(2)) for i in range(100)]
-    nodes = make([("hot", "Hot", "p", "f", at(1)), ("hot", "Hot", "p", "f", at(1)), ("h2", "H2", "p", "f", None)], NODES)
+    nodes = make([("hot", "Hot", "p", "f", at(1)), ("hot", "Hot", "p", "f", at(1)), ("h2", "H2", "p", "f", None)], HUB_NODES)
     got = hotkeys.hot_keys(make(rows + rows[:40], ddl), nodes, 0.04).collect()
     assert sorted((r["key_field"], r["key_value"], r["label"], r["n_edges"]) for r in got) == [("edges.source_file", "f", "2", 10), ("edges.target", "hot", "Hot", 30)]
     assert hotkeys.hot_keys(make([], ddl), nodes.limit(0)).count() == 0

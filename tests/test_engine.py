@@ -42,6 +42,19 @@ def test_discovery(spark, tree):
     assert tuple(sections)[1:] == ("ts", "x", "<p/>")
 
 
+def test_bytes_that_are_no_utf8_are_replaced(spark, tmp_path):
+    (tmp_path / "latin.py").write_bytes("x = 'Müller'\n".encode("latin-1"))
+    (tmp_path / "fine.py").write_bytes("y = 'Müller'\n".encode())
+    got = {r["file_path"].rsplit("/", 1)[1]: r["content"] for r in scan.decoded(scan.scan(spark, f"file://{tmp_path}")).collect()}
+    assert got == {"latin.py": "x = 'M\ufffdller'\n", "fine.py": "y = 'Müller'\n"}
+
+
+def test_frameworks_by_fixed_order(spark):
+    rows = [("/r/a/Cargo.toml", 'axum = "1"\ntauri = "2"'), ("/r/b/build.gradle.kts", "plugins { }\nspring"), ("/r/c/build.gradle", "io.ktor:ktor"), ("/r/d/requirements.txt", "requests"), ("/r/d/Pipfile", "Flask = '*'"), ("/r/e/package.json", '{"koa": 1, "express": 1}'), ("/r/e/nuxt.config.ts", ""), ("/r/f/package.json", '{"koa": 1, "express": 1}'), ("/r/g/x.csproj", ""), ("/r/g/package.json", "{}"), ("/r/h/go.mod", None), ("/r/i/Pipfile", "django")]
+    got = {r["name"]: (r["framework"], r["language"]) for r in scan.detect_projects(spark.createDataFrame(rows, "file_path string, content string")).collect()}
+    assert got == {"a": ("tauri", "rust"), "b": ("spring-boot", "java"), "c": ("ktor", "kotlin"), "d": ("flask", "python"), "e": ("nuxt", "typescript"), "f": ("koa", "typescript"), "g": ("aspnet", "csharp"), "h": ("go", "go")}
+
+
 def test_graph(engine):
     kinds = {(r["label"], r["type"]) for r in engine.graph.nodes.collect()}
     assert {("Reader", "class"), ("UserStore", "entity"), ("UserPage", "component"), ("read [GET /api/users/{id}]", "route")} <= kinds
@@ -65,7 +78,7 @@ def test_files(engine, spark, tmp_path):
     assert again.graph.nodes.count() == engine.graph.nodes.count()
     assert "## Folders most coupled" in (tmp_path / "REPORT.md").read_text()
     page = (tmp_path / "wiki/shop-api/all/UserStore.md").read_text()
-    assert "imported by" in page and "Reader" in page
+    assert "imported_by" in page and "Reader" in page
     files.save_node_link(engine.graph, str(tmp_path / "graph.json"))
     said = json.loads((tmp_path / "graph.json").read_text())
     assert len(said["nodes"]) == engine.graph.nodes.count()

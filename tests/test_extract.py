@@ -216,7 +216,7 @@ def by_framework(df, *columns):
 def test_routes(caught):
     got = by_framework(interpret.routes(caught), "method", "path", "handler")
     rails = got.pop("rails")
-    assert {("GET", "/", "home#index"), ("GET", "/about", "pages#about"), ("GET", "/users/:id/edit", "users#edit")} <= rails and len(rails) == 9
+    assert {("GET", "/", "home#index"), ("GET", "/about", "pages#about"), ("GET", "/users/:user_id/edit", "users#edit")} <= rails and len(rails) == 9
     assert got == ROUTES
 
 
