@@ -33,7 +33,7 @@ PARTICLES_UPPER = r"(?:VON DER|VON|VAN DER|VAN|ZU|DE LA|DE|DU|DES)\s+"
 COMMON = frozenset(
     "Her His Honour Honours The A An It In On At Of By For To As If We He She They This That There These Those When Where While Who What Costs Judgment Order Appeal Leave Counsel Evidence Paragraph Reliance Handed Decided Case Claimant Defendant Respondent Appellant Applicant HEADNOTE ORDER BETWEEN Court Before Signed Registry Enquiries Section Between Reference Page Limited "
     "Der Die Das Den Dem Des Ein Eine Es Er Sie Ist Im Am Zum Zur Mit Nach Auf Bei Aus Von Für Urteil Klagepartei Beklagte Zeuge Zeugin Landgericht Amtsgericht Arbeitsgericht Oberlandesgericht Leitsätze Tenor Tatbestand Gründe Streitig Offen Euro Rechnung Auftrag Revision Berufung Richter Herr Frau Herrn Abs Nr Az "
-    "Le La Les Un Une Des Il Elle On Ce Cette Attendu Par Pour Dans Sur Que Qui Madame Monsieur Mme Composition Tribunal Cour Arrêt ARRÊT SOMMAIRE ENTRE ET Attendu Entendu Signé RG Bull Communiqué No Rn Mx Dr Mr Mrs Ms Prof Judge Justice Sir Lord Lady Master Recorder Court Tribunal January February March April May June July August September October November December Januar Februar März Mai Juni Juli Oktober Dezember".split()
+    "Le La Les Un Une Des Il Elle On Ce Cette Attendu Par Pour Dans Sur Que Qui Madame Monsieur Mme Composition Tribunal Cour Arrêt ARRÊT SOMMAIRE ENTRE ET Attendu Entendu Signé RG Bull Communiqué No Rn Geschäftsstelle Greffe Mx Dr Mr Mrs Ms Prof Judge Justice Sir Lord Lady Master Recorder Court Tribunal January February March April May June July August September October November December Januar Februar März Mai Juni Juli Oktober Dezember".split()
 )
 _CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
 _UNIT = rf"(?:[OD]['’]|Mc|Mac|St\.\s)?{_CAP}(?:[a-z]['’]{_CAP})?"
@@ -45,6 +45,7 @@ _WS = r"(?:[ \t]+\n?[ \t]*|\n[ \t]*)"
 _NOT_ORGANISATION = rf"(?!{_WS}(?:&|und Partner)|{_WS}{ORGANISATION}\b|{_WS}{_CAP}{_WS}{ORGANISATION}\b)"
 _INITIALS = r"(?:[A-ZÀ-Þ]\.[ \n]?-?){1,3}"
 
+_CAPITALISED = re.compile(r"(?:[OD]['’])?[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÿ]+(?:-[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÿ]+)*")
 _LEARN = re.compile(rf"(?:\s+(?:Dr|Prof|Justice|Judge)\.?)*\s+({_CAP}(?:-{_CAP})?)(?: [A-Z]\.)* (?:{PARTICLES})?({_SURNAME})\b(?! {ORGANISATION}\b)")
 _REST = re.compile(rf"(?P<initials>\s*{_INITIALS}\s*|\s+)?(?P<particle>{PARTICLES})?(?P<surname>{_ANY}){_NOT_ORGANISATION}")
 _BEFORE_GIVEN = re.compile(rf"(?:(?<!\w)(?P<particle>{PARTICLES_UPPER}|(?<=: ){PARTICLES}|(?<=\n){PARTICLES}))?(?:(?P<upper>{_UPPER})|(?P<comma>{_SURNAME}|{_UPPER}),)\s+\Z")
@@ -126,7 +127,7 @@ def _reread(text: str) -> str:
 
 
 def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per batch, in how many texts a word stands first (1) or second (2) after a title, or alone (3)."""
+    """Per batch, in how many texts a word stands first (1) or second (2) after a title, or alone (3), or anywhere (4)."""
     for batch in batches:
         counts: dict[tuple[str, int], int] = {}
         for text in batch["text"]:
@@ -143,11 +144,14 @@ def _learned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 m = _after_titles(text, end)
                 if m:
                     seen.add((m["surname"], 3))
+            seen.update((word, 4) for word in set(_CAPITALISED.findall(text)))
             for key in seen:
                 counts[key] = counts.get(key, 0) + 1
         yield pd.DataFrame([(w, p, n) for (w, p), n in counts.items()], columns=["word", "place", "n"])
 
 
+#: Of all texts that hold a word, the share in which it must follow a title to be a name: towns and common words do so now and then.
+NAMED_SHARE = 0.08
 #: Bound of the lexicons' words, which every worker holds; a corpus with more is refused, never cut.
 MOST_NAMES = 1_000_000
 
@@ -156,18 +160,19 @@ def lexicons(documents: DataFrame) -> tuple[list[str], list[str]]:
     """Given names and surnames of the corpus, from all its texts.
 
     A given name stands first after titles in three texts or more, and at most half as often second; a surname
-    stands second or alone in three or more.  Every word that passes counts; more than MOST_NAMES are an error.
+    stands second or alone in three or more; both in NAMED_SHARE of the texts they are in at all, so that what
+    becomes a name doesn't grow with the corpus.  Every word that passes counts; more than MOST_NAMES are an error.
     """
     counts = spread(documents.select("text").where("text is not null")).mapInPandas(_learned, "word string, place int, n long")
     at = lambda *places: F.sum(F.when(F.col("place").isin(*places), F.col("n")).otherwise(0))
-    rated = counts.groupBy("word").agg(at(1).alias("a"), at(2).alias("b"), at(2, 3).alias("c")).where("a >= 3 or c >= 3")
-    kept = rated.withColumn("given", F.expr("a >= 3 and a >= 2 * b")).where("given or c >= 3").limit(MOST_NAMES + 1).collect()
+    rated = counts.groupBy("word").agg(at(1).alias("a"), at(2).alias("b"), at(2, 3).alias("c"), at(4).alias("d")).where(f"greatest(a, c) >= 3 and greatest(a, c) >= {NAMED_SHARE} * d")
+    kept = rated.withColumn("given", F.expr(f"a >= 3 and a >= 2 * b and a >= {NAMED_SHARE} * d")).withColumn("family", F.expr(f"c >= 3 and c >= {NAMED_SHARE} * d")).where("given or family").limit(MOST_NAMES + 1).collect()
     if len(kept) > MOST_NAMES:
         raise ValueError(f"the corpus holds more than {MOST_NAMES} names")
     kept.sort(key=lambda r: (-max(r["a"], r["c"]), r["word"]))
     given = [r["word"] for r in kept if r["given"] and r["word"] not in COMMON]
     known = set(given)
-    return given, [r["word"] for r in kept if r["c"] >= 3 and r["word"] not in known and r["word"] not in COMMON]
+    return given, [r["word"] for r in kept if r["family"] and r["word"] not in known and r["word"] not in COMMON]
 
 
 def _words_back(text: str, at: int, n: int) -> int:

@@ -5,14 +5,11 @@
 2. Pairs are anti-joined with the pairs that the grammar's productions permit.
 3. Bracket contents and top-level statements, distinct over all files, are matched with the productions;
    what matches none condemns the files that hold it.
-4. Python files that fail are parsed by the interpreter itself, which has the last word.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -262,24 +259,6 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[[not g for g in good]]
 
 
-def _parses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Drops files that the interpreter's own parser accepts."""
-    for batch in batches:
-        bad = []
-        for lang, text in zip(batch["lang"], batch["content"]):
-            if lang != "python":
-                bad.append(True)
-                continue
-            try:
-                with warnings.catch_warnings():
-                    warnings.simplefilter("ignore")
-                    ast.parse(text or "")
-                bad.append(False)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                bad.append(True)
-        yield batch[bad][["file_path", "lang"]]
-
-
 def known_files(files: DataFrame) -> DataFrame:
     """(file_path, project, lang, content) of the languages known; rows without a path are dropped, a null content is empty.
 
@@ -314,6 +293,4 @@ def invalid_files(files: DataFrame) -> DataFrame:
     kinds = signatures.select("lang", "signature").distinct().repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # a few rows, each dear to check
     broken = kinds.mapInPandas(_check, "lang string, signature string")
     by_production = signatures.join(broken, ["lang", "signature"], "left_semi").select("file_path", "lang")
-    suspects = by_pair.unionByName(by_production).distinct()
-    texts = files.select("file_path", "lang", "content").join(suspects.select("file_path"), "file_path", "left_semi")
-    return texts.mapInPandas(_parses, "file_path string, lang string").distinct()
+    return by_pair.unionByName(by_production).distinct()

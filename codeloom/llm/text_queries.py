@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from codeloom.llm import mixing, packing, pii
 from codeloom.tables import table
 
-#: Key of the pseudonyms in the queries; a production run passes its own secret.
-DEMO_KEY = "codeloom-demo"
+#: The session setting that holds the secret of the pseudonyms, and the key of sessions without it.
+KEY_SETTING, DEMO_KEY = "codeloom.pseudonym.key", "codeloom-demo"
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_masked(spark: SparkSession, d: str) -> DataFrame:
-    return pii.masked(table(spark, d, "documents"), DEMO_KEY)
+    return pii.masked(table(spark, d, "documents"), spark.conf.get(KEY_SETTING, DEMO_KEY))
 
 
 def p8_counts(spark: SparkSession, d: str) -> DataFrame:

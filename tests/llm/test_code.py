@@ -3,11 +3,15 @@
 import ast
 import random
 import re
+import warnings
 
 import pytest
 
 from codeloom.llm import grammar, provenance, syntax
 
+#: Share of broken Python programs that the productions may let pass: errors that need more than tokens and nesting.
+MISSED = 0.1
+
 GOOD = {
     "py": [
         "", "x = 1\n", "def f(a, *, b=2) -> int:\n    if a:\n        return [x for x in a if x]\n    else:\n        pass\n", "class A(B):\n    '''doc'''\n    @p\n    async def g(self):\n        try:\n            await x\n        except (A, B) as e:\n            raise C from e\n        finally:\n            del y\n",
@@ -67,22 +71,28 @@ def test_operator(spark):
 
 
 def test_broken_python_against_the_interpreter():
+    """Of edited programs, no valid one is condemned, and few broken ones are missed."""
     rng = random.Random(1)
+    broken, missed, wrong = 0, [], []
     for text in GOOD["py"]:
         for _ in range(60):
             cut = list(text)
             if cut:
                 at = rng.randrange(len(cut))
                 cut[at : at + rng.randrange(1, 4)] = rng.choice(["", "", ":", ")", "(", "\n"])
-            broken = "".join(cut)
+            edited = "".join(cut)
             try:
-                ast.parse(broken)
-                valid = True
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    ast.parse(edited)
             except (SyntaxError, ValueError):
-                valid = False
-            if valid is False and verdict("py", broken):
-                # what the method alone lets pass must be rare: early errors that need more than syntax
-                assert any(w in broken for w in ("return", "yield", "await", "=", "*", "lambda", "continue", "case", "match", "del", "if", "for", "as", "@", "{", "'")), broken
+                broken += 1
+                if verdict("py", edited):
+                    missed.append(edited)
+            else:
+                if not verdict("py", edited):
+                    wrong.append(edited)
+    assert broken > 200 and len(missed) <= MISSED * broken and not wrong, (len(missed), broken, missed[:5], wrong[:5])
 
 
 def body(seed, n=60):
