@@ -26,6 +26,8 @@ from codeloom.session import pin
 SHARD = 2_000
 SHARDS_PER_TASK = 4
 K1, B = 1.2, 0.75
+#: Tokens of more than one in DENSE documents of a shard are scored as rows of a matrix.
+DENSE = 16
 #: Bound of the sample that the centres are fitted on, how many there are at most, hashed features and rounds of the fit.
 SAMPLE, CENTRES, FEATURES, ROUNDS = 4_000, 256, 512, 10
 #: Container sizes at most; more are refused.
@@ -109,21 +111,54 @@ class Index:
         at = np.empty(len(flat), dtype=np.int64)
         at[order] = np.repeat(np.arange(len(self.terms)), np.diff(self.bounds))
         # a token of no other document of the shard leads to no neighbour
-        several = np.diff(self.bounds) > 1
+        df = np.diff(self.bounds)
+        several = df > 1
         self.queries = [q[several[q]] for q in np.split(at, np.cumsum(self.sizes)[:-1])] if len(terms) else []
+        # tokens of very many documents are held as rows of weights, which are summed by one product
+        common = np.flatnonzero(df * DENSE > len(terms))
+        self.row = np.full(len(self.terms), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(terms)), dtype=np.float32)
+        for k, t in enumerate(common):
+            own = slice(self.bounds[t], self.bounds[t + 1])
+            self.dense[k, self.owner[own]] = self.weight[own]
+        self.known: dict[int, np.ndarray] = {}
+        self.base: np.ndarray | None = None
+
+    def _from_common(self) -> np.ndarray:
+        """What the common tokens give, of all documents of the shard for all, by one product."""
+        asked = np.zeros((len(self.queries), len(self.dense)), dtype=np.float32)
+        for document, query in enumerate(self.queries):
+            row = self.row[query]
+            asked[document, row[row >= 0]] = 1.0
+        return asked @ self.dense
 
     def scores(self, document: int) -> np.ndarray:
-        """BM25 of all documents of the shard for all tokens of one."""
-        return self.of_terms(self.queries[document])
+        """BM25 of all documents of the shard for all tokens of one; kept, as each container size asks again."""
+        if self.base is None:
+            self.base = self._from_common()
+        if document not in self.known:
+            query = self.queries[document]
+            self.known[document] = self.base[document] + self._of_rare(query[self.row[query] < 0])
+        return self.known[document]
+
+    def _of_rare(self, rare: np.ndarray) -> np.ndarray:
+        begin = self.bounds[rare]
+        lengths = self.bounds[rare + 1] - begin
+        at = np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return np.bincount(self.owner[at], weights=self.weight[at], minlength=len(self.sizes)).astype(np.float32)
 
     def of_terms(self, asked: np.ndarray) -> np.ndarray:
         """BM25 of all documents for the terms at these places of ``terms``."""
+        out = np.zeros(len(self.sizes), dtype=np.float32)
         if not len(asked):
-            return np.zeros(len(self.sizes), dtype=np.float32)
-        begin, end = self.bounds[asked], self.bounds[asked + 1]
-        lengths = end - begin
-        at = np.repeat(begin - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-        return np.bincount(self.owner[at], weights=self.weight[at], minlength=len(self.sizes))
+            return out
+        row = self.row[asked]
+        if len(self.dense):
+            wanted = np.zeros(len(self.dense), dtype=np.float32)
+            wanted[row[row >= 0]] = 1.0
+            out += wanted @ self.dense
+        return out + self._of_rare(asked[row < 0])
 
 
 def pack(lengths: np.ndarray, capacity: int, index: Index) -> list[list[tuple[int, int, int, int, str]]]:
