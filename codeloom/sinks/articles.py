@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import colour, is_controller, markdown_link, reverse_relation, safe_name, type_display
+from codeloom.functions.text import colour, is_controller, markdown_link, reverse_relation, safe_name, type_display, wikilinks
 from codeloom.graph import Graph
 from codeloom.operators import analyze, serve
 from codeloom.operators.enrich import routes_of
@@ -92,10 +92,24 @@ def wiki(graph: Graph) -> DataFrame:
     return pages.unionByName(index).unionByName(overview).unionByName(cross).unionByName(listing)
 
 
+# How names of front-end projects begin, and relations that may lead from or to one.
+FRONT_ENDS = "front- dring- app- web- ui-".split()
+ACROSS = ("calls_api", "api_called_by", "shares_db_entity")
+
+
+def is_front_end(project: Column) -> Column:
+    out = F.lit(False)
+    for head in FRONT_ENDS:
+        out = out | project.startswith(head)
+    return F.coalesce(out, F.lit(False))
+
+
 def vault(graph: Graph) -> DataFrame:
     """(path, content) of linked notes: one per source file, named after its primary node, plus a hub per project.
 
-    Links between JVM and JavaScript files are left out; a link's name is qualified by its project.
+    Links between JVM and JavaScript files are left out, and links from or to a front-end project of other
+    relations than API calls and shared entities; a link's name is qualified by its project.  Links whose target
+    differs from a note in case, blanks, dashes or underscores only are repaired.  The colours of the projects come last.
     """
     primary = serve.primary_notes(graph.nodes.where("project <> ''")).join(graph.nodes.select("id", "project", "type"), "id")
     name = safe_name(F.col("label"))
@@ -105,7 +119,8 @@ def vault(graph: Graph) -> DataFrame:
     b = of_node.select(F.col("id").alias("target"), F.col("source_file").alias("f2"), F.col("project").alias("p2"), F.col("note").alias("n2"))
     jvm, js = "\\.(java|kt|kts)$", "\\.(tsx?|jsx?|mjs|cjs)$"
     spurious = F.col("relation").isin("imports", "imports_from") & ((F.col("f1").rlike(jvm) & F.col("f2").rlike(js)) | (F.col("f1").rlike(js) & F.col("f2").rlike(jvm)))
-    links = graph.edges.select("source", "target", "relation").join(a, "source").join(b, "target").where(~spurious).where((F.col("n1") != F.col("n2")) | (F.col("p1") != F.col("p2"))).select("p1", "n1", "relation", "p2", "n2").distinct()
+    foreign = (F.col("p1") != F.col("p2")) & (is_front_end(F.col("p1")) | is_front_end(F.col("p2"))) & ~F.col("relation").isin(*ACROSS)
+    links = graph.edges.select("source", "target", "relation").join(a, "source").join(b, "target").where(~spurious & ~foreign).where((F.col("n1") != F.col("n2")) | (F.col("p1") != F.col("p2"))).select("p1", "n1", "relation", "p2", "n2").distinct()
     both = links.unionByName(links.select(F.col("p2").alias("p1"), F.col("n2").alias("n1"), reverse_relation(F.col("relation")).alias("relation"), F.col("p1").alias("p2"), F.col("n1").alias("n2")))
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("p1", "n1").orderBy("relation", "p2", "n2")))
     lines = ranked.groupBy(F.col("p1").alias("project"), F.col("n1").alias("note")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("- "), "relation", F.lit(": [["), "p2", F.lit("/"), "n2", F.lit("]]")).alias("l")))), lambda x: x["l"]), "\n").alias("t"))
@@ -116,7 +131,27 @@ def vault(graph: Graph) -> DataFrame:
     notes = placed.join(lines, ["project", "note"], "left").select(F.concat("project", F.lit("/"), "note", F.lit(".md")).alias("path"), body.alias("content"))
     hub_rank = placed.withColumn("at", F.row_number().over(Window.partitionBy("project").orderBy("note")))
     hubs = hub_rank.groupBy("project").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- [["), "project", F.lit("/"), "note", F.lit("]]")))), "\n").alias("t")).select(F.concat("project", F.lit("/_"), "project", F.lit(".md")).alias("path"), F.concat(F.lit("# "), "project", F.lit("\n\n"), "t", F.lit("\n")).alias("content"))
-    return notes.unionByName(hubs).unionByName(loose_notes(graph, placed))
+    return repaired(notes.unionByName(hubs).unionByName(loose_notes(graph, placed))).unionByName(colour_groups(graph))
+
+
+def repaired(notes: DataFrame) -> DataFrame:
+    """Notes whose links to no note are led to the note of the same name but for case, blanks, dashes and underscores, the first by name."""
+    norm = lambda x: F.lower(F.regexp_replace(x, "[\\s_-]", ""))
+    stem = F.regexp_replace("path", "\\.md$", "")
+    there = notes.select(stem.alias("stem")).distinct()
+    links = notes.select("path", F.explode(F.array_distinct(wikilinks(F.col("content")))).alias("link"))
+    lost = links.join(there.withColumnRenamed("stem", "link"), "link", "left_anti").withColumn("norm", norm(F.col("link")))
+    mended = lost.join(there.groupBy(norm(F.col("stem")).alias("norm")).agg(F.min("stem").alias("to")), "norm").groupBy("path").agg(F.array_sort(F.collect_set(F.struct("link", "to"))).alias("m"))
+    out = F.aggregate("m", F.col("content"), lambda text, x: F.replace(text, F.concat(F.lit("[["), x["link"], F.lit("]]")), F.concat(F.lit("[["), x["to"], F.lit("]]"))))
+    return notes.join(mended, "path", "left").select("path", F.coalesce(out, F.col("content")).alias("content"))
+
+
+def colour_groups(graph: Graph) -> DataFrame:
+    """(path, content): the settings file of the note program's graph view, a colour a project."""
+    names = graph.nodes.where("project <> ''").select("project").distinct()
+    group = F.struct(F.concat(F.lit("path:"), "project").alias("query"), F.struct(F.lit(1).alias("a"), colour(F.col("project")).alias("rgb")).alias("color"))
+    every = names.agg(F.array_sort(F.collect_list(group)).alias("colorGroups"))  # one entry a project
+    return every.select(F.lit(".obsidian/graph.json").alias("path"), F.to_json(F.struct("colorGroups", F.lit(True).alias("showOrphans"), F.lit(True).alias("showArrow"))).alias("content"))
 
 
 def loose_notes(graph: Graph, placed: DataFrame) -> DataFrame:

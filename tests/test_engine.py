@@ -4,6 +4,7 @@ import io
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom import config
 from codeloom.engine import Engine
@@ -138,3 +139,18 @@ def test_stream(spark, tmp_path):
     state = {r["key"]: r["best"]["v"]["content_hash"] for r in latest_records(spark, folder).state().collect()}
     assert state == {"f0": "h18", "f1": "h19", "f2": "h20"}
     assert [(r["lo"], r["hi"]) for r in latest_records(spark, folder).ledger.processed().collect()] == [(1, 21)]
+
+
+def test_vault_steps(spark):
+    notes = spark.createDataFrame([("a/User_Page.md", "[[a/user page]] [[a/Nothing]] [[b/X]]"), ("b/X.md", "x"), ("b/Y.md", None)], "path string, content string")
+    got = {r["path"]: r["content"] for r in articles.repaired(notes).collect()}
+    assert got == {"a/User_Page.md": "[[a/User_Page]] [[a/Nothing]] [[b/X]]", "b/X.md": "x", "b/Y.md": None}
+    rows = spark.createDataFrame([("web-shop",), ("shop-web",), (None,)], "p string").select(articles.is_front_end(F.col("p"))).collect()
+    assert [r[0] for r in rows] == [True, False, False]
+
+
+def test_controller_routes(spark):
+    rows = [("p::UserController", "UserController", "class", "p", None), ("q::UserController", "UserController", "class", "q", None), ("p::r1", "UserController.list [GET /users]", "route", "p", None), ("p::r2", "SuperUserController.x [GET /super]", "route", "p", None), ("p::Odd", "Odd", "class", "p", '{"annotations": ["RestController"]}'), ("p::r3", "Odd@run [POST /odd]", "route", "p", None)]
+    nodes = spark.createDataFrame([(*r, "f") for r in rows], "id string, label string, type string, project string, detail string, source_file string")
+    got = {r["id"]: r["routes"] for r in articles.controller_routes(nodes).collect()}
+    assert got == {"p::UserController": ["GET /users"], "p::Odd": ["POST /odd"]}
