@@ -74,8 +74,16 @@ def label_chance(posterior: np.ndarray, label: np.ndarray) -> np.ndarray:
     return chance / chance.sum(axis=1, keepdims=True)
 
 
-def membership(posterior: np.ndarray, label: np.ndarray, chance: np.ndarray) -> np.ndarray:
-    """Posterior times the chance of the label given the source; ``label`` is -1 where unknown."""
+def membership(posterior: np.ndarray, label: np.ndarray, chance: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Chance of each source given text and label; ``label`` is -1 where unknown.
+
+    A classifier fitted on labels predicts labels, wrong ones included; rounds of expectation and maximisation find the
+    sources that with ``chance`` would give them.
+    """
+    posterior = np.maximum(posterior, 1e-6)
+    seen = posterior
+    for _ in range(rounds):
+        posterior = posterior * ((seen / (posterior @ chance)) @ chance.T)
     given = np.ones_like(posterior)
     given[label >= 0] = chance[:, label[label >= 0]].T
     joint = np.maximum(posterior, 1e-6) * given
