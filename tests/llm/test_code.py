@@ -226,3 +226,31 @@ def test_siblings_within_a_project_are_generated(spark):
 
     rows = [(f"/r/a/s{k}.py", "a", named(k)) for k in range(4)] + [(f"/r/b/e{k}.py", "b", irregular(32) + "x = 1\n" * k) for k in range(4)] + [(f"/r/c/two{k}.py", "c", irregular(33 + k)) for k in range(2)]
     assert made(spark, rows) == {f"/r/a/s{k}.py": "generated" for k in range(4)}
+
+
+def test_no_pair_that_joins_parts_is_left_out(spark):
+    """In a band of 20, members close to a lead are close to others too, and the chains from there reach all others."""
+    from pyspark.sql import functions as F
+
+    from codeloom.operators.components import connected_components
+
+    def settled(rows, close, parts=provenance.parts_by_kind):
+        pairs = spark.createDataFrame([(max(p), min(p), kind) for p, kind in close], "a long, b long, kind string")
+        verify = lambda met: met.join(pairs, (F.greatest("fid", "lead") == F.col("a")) & (F.least("fid", "lead") == F.col("b")) & (met["kind"] == pairs["kind"])).select("fid", "lead", met["kind"])
+        return provenance.settle_bands(spark.createDataFrame(rows, "fid long, band long, kind string"), verify, parts)
+
+    one = [(k, 7, "copy") for k in range(1, 21)]
+    # 10 and 11 are close to leads 1 and 2; only the pair of them joins the two
+    chain = [((1, 10), "copy"), ((10, 11), "copy"), ((2, 11), "copy"), ((12, 13), "copy"), ((12, 10), "copy"), ((19, 20), "copy"), ((5, 20), "copy")]
+    groups = {}
+    for r in connected_components(settled(one, chain), "fid", "lead").collect():
+        groups.setdefault(r["component"], set()).add(r["id"])
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 10, 11, 12, 13], [5, 19, 20]]
+    # 9 is a copy of lead 1, which says nothing of its siblings
+    both = one + [(k, 8, "sibling") for k in range(1, 21)]
+    got = {(frozenset((r["fid"], r["lead"])), r["kind"]) for r in settled(both, [((1, 9), "copy"), ((9, 15), "sibling")]).collect()}
+    assert got == {(frozenset((1, 9)), "copy"), (frozenset((9, 15)), "sibling")}
+    # where only being linked counts: 15 is close to nothing but 9, and 9 to a lead
+    ends = lambda pairs: pairs.select(F.explode(F.array("fid", "lead")).alias("fid"), "kind").distinct().withColumn("part", F.lit(0).cast("long"))
+    linked = settled(one, [((1, 9), "copy"), ((9, 15), "copy")], ends).select(F.explode(F.array("fid", "lead")).alias("id")).distinct()
+    assert sorted(r["id"] for r in linked.collect()) == [1, 9, 15]
