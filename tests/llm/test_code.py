@@ -254,3 +254,19 @@ def test_no_pair_that_joins_parts_is_left_out(spark):
     ends = lambda pairs: pairs.select(F.explode(F.array("fid", "lead")).alias("fid"), "kind").distinct().withColumn("part", F.lit(0).cast("long"))
     linked = settled(one, [((1, 9), "copy"), ((9, 15), "copy")], ends).select(F.explode(F.array("fid", "lead")).alias("id")).distinct()
     assert sorted(r["id"] for r in linked.collect()) == [1, 9, 15]
+
+
+def test_a_file_listed_twice_is_no_family(spark):
+    rows = [("/r/a/again.py", "a", "a.b(c, d)\n" * 100), ("/r/a/own.py", "a", irregular(41))]
+    assert made(spark, rows * 2) == made(spark, rows) == {}
+
+
+def test_lexed_in_arrays_as_token_by_token():
+    texts = [("python", "# head\n\n" + irregular(42) + "# end"), ("java", "/* a */ int x = 1; // N\nfinal String N = \"s\";\n"), ("go", ""), ("javascript", "// only")]
+    for lang, text in texts:
+        found = provenance.tokens(lang, text)
+        kinds = provenance.classes(lang, found)
+        *got, quiet = provenance.lexed(lang, found)
+        for a, b in zip(got, provenance.coded(*provenance.words_of(found, kinds))):
+            assert a.tolist() == b.tolist()
+        assert quiet.tolist() == [k for k, kind in enumerate(kinds) if not kind or kind == "N"]
