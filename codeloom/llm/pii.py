@@ -78,6 +78,8 @@ ADDRESSES = [
     ),
 ]
 _FLAT = re.compile(r"(?<!\w)(?:Flat|Apartment|Apt\.?|Unit|Suite)\s+\d+[A-Za-z]?,?\s+\Z")
+#: What follows the house number of any address: a name, a kind of street, or a postcode.
+_HOUSE = re.compile(r"(?:\s?[A-Za-z](?!\w))?,?\s+(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]|bis\b|ter\b|quater\b|rue|avenue|av\.|boulevard|bd|place|allée|chemin|impasse|quai|cours|route|square|passage|\d{5}\s)")
 #: A German street is found by its number and postcode; its name is then read backwards.
 GERMAN_ADDRESS = re.compile(rf"\d(?<![\w,.]\d)\d{{0,3}}(?:\s?[a-z](?!\w))?,?\s+\d{{5}}\s+{_TOWN}")
 _STREET = re.compile(r"(?:(?<!\w)(?:Am|An|Im|Auf|Zum|Zur|Alte|Neue|Große|Kleine)\s+(?:der\s+|dem\s+)?)?(?<![\w\-])[A-ZÄÖÜ][\wäöüß\-]*\.?\s*\Z")
@@ -229,7 +231,8 @@ class Finder:
                 after = text[end : end + 1]
                 before = text[start - 1] if start else ""
                 spaced = after in " \n"
-                if spaced or after == "," or after.isalpha():
+                size, worded = end - start, before.isalnum() or before == "_"
+                if size <= 5 and (spaced or after == "," or after.isalpha()) and not worded and before != "." and _HOUSE.match(text, end):
                     for pattern in ADDRESSES:
                         found = pattern.match(text, start)
                         if found:
@@ -242,7 +245,8 @@ class Finder:
                             take("address", street.start(), found.end())
                 if not numbered:
                     continue
-                if spaced or after in "-/" or after.isupper():
+                # each format has its first digits and what follows them
+                if not worded and ((size <= 2 and spaced) or (size in (3, 4) and after == "-") or (size == 6 and (after == "/" or after.isupper())) or (size == 8 and after.isupper())):
                     found = ID_FORMATS[0].match(text, start)
                     if found:
                         numbers.append((0, *found.span()))
@@ -251,7 +255,7 @@ class Finder:
                     start -= 1
                     if before == "(" and start and text[start - 1] == "+":
                         continue
-                elif not (spaced or after in "-/."):
+                elif not (spaced or after in "-/.") or (text[start] != "0" and not (size == 3 and after in ".-")):
                     continue
                 found = PHONE.match(text, start)
                 if found:

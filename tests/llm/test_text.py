@@ -234,3 +234,29 @@ def test_lexicons_keep_every_name_or_refuse(spark, monkeypatch):
 def test_addresses_of_single_digits():
     text = "Notice. 7 High Street, Leeds LS1 4AB is closed."
     assert [(kind, text[a:b]) for kind, a, b in pii.Finder([]).find(text)] == [("address", "7 High Street, Leeds LS1 4AB")]
+
+
+def test_numbers_are_held_against_formats_they_can_have_only(monkeypatch):
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.tried = pattern, 0
+
+        def match(self, *at):
+            self.tried += 1
+            return self.pattern.match(*at)
+
+    counted = [Counted(p) for p in (*pii.ADDRESSES, pii.GERMAN_ADDRESS, pii.PHONE)]
+    monkeypatch.setattr(pii, "ADDRESSES", counted[:2])
+    monkeypatch.setattr(pii, "GERMAN_ADDRESS", counted[2])
+    monkeypatch.setattr(pii, "PHONE", counted[3])
+    finder = pii.Finder([])
+    assert finder.find("paid 1200 euro, 35 per cent of 4711 items, art. 12 and 13 of 1998, ") == []
+    assert [c.tried for c in counted] == [0, 0, 0, 0]
+    held = [
+        ("address", "7 High Street, Leeds LS1 4AB"), ("address", "12a Mill Lane, York"), ("address", "12 bis, rue de la Paix, 75002 Paris"), ("address", "3, avenue Foch, 69006 Lyon"), ("address", "Lindenstraße 5 a, 10969 Berlin"),
+        ("phone", "+44 20 7946 0958"), ("phone", "0049 30 1234567"), ("phone", "030/12345678"), ("phone", "(020) 7946 0958"), ("phone", "555-123-4567"),
+        ("id_number", "123-45-6789"), ("id_number", "1 84 12 76 451 089 46"), ("id_number", "12 34 567 890 123"), ("id_number", "12345678A123"),
+    ]
+    for kind, value in held:
+        text = f"so it is: {value}; and on"
+        assert [(k, text[a:b]) for k, a, b in finder.find(text)] == [(kind, value)], value
