@@ -270,3 +270,42 @@ def test_lexed_in_arrays_as_token_by_token():
         for a, b in zip(got, provenance.coded(*provenance.words_of(found, kinds))):
             assert a.tolist() == b.tolist()
         assert quiet.tolist() == [k for k, kind in enumerate(kinds) if not kind or kind == "N"]
+
+
+def test_files_are_fingerprinted_in_arrays():
+    """Together as one by one, and without a call for each token or line; the calls are counted, as seconds would vary."""
+    import cProfile
+    import gc
+    import pstats
+
+    import pyarrow as pa
+
+    def prints(rows):
+        return [r for b in provenance._fingerprints(iter([pa.RecordBatch.from_pylist(rows, schema)])) for r in b.to_pylist()]
+
+    schema = pa.schema([(c, pa.string()) for c in ("file_path", "project", "lang", "content")])
+    texts = [("java", "/* it holds a note */\n\nint x = 1;\r\n// of two words\n  \n"), ("javascript", "x = `a\n${b}` /c\n/d\n\n<<<<<<< here\n"), ("go", " \n\n"), ("go", None), ("python", "# a head of words\n\n" + accessors(43)), ("typescript", "const a = 1 /* open \n ")]
+    rows = [{"file_path": f"/r/{k}", "project": None, "lang": lang, "content": text} for k, (lang, text) in enumerate(texts)]
+    own = lambda r: r | {"head": sorted(r["head"]), "said": sorted(r["said"])}
+    together = list(map(own, prints(rows)))
+    assert together == [own(prints([r])[0]) for r in rows]
+    assert together[4]["units"] and together[4]["head"] and not together[2]["n_tokens"] and not together[3]["said"]
+    for lang, text in texts:
+        assert provenance.without_line_ends(lang, text or "") == [t for t in provenance.tokens(lang, text or "") if lang == "python" or t != "\n"]
+    many = [{"file_path": f"/r/{k}", "project": "p", "lang": "python", "content": irregular(k)} for k in range(200)]
+    prints(many)
+    gc.collect()
+    gc.disable()  # else Spark's own objects are cleared meanwhile, and their calls counted
+    try:
+        with cProfile.Profile() as calls:
+            prints(many)
+    finally:
+        gc.enable()
+    assert pstats.Stats(calls).total_calls < 60 * len(many)
+
+
+def test_similarities_at_the_bound(spark):
+    rows = [(list(range(a)), list(range(a - common, a - common + b)), common / (a + b - common)) for a in range(1, 13) for b in range(1, 13) for common in range(min(a, b) + 1)]
+    pairs = spark.createDataFrame(rows, "a array<long>, b array<long>, jaccard double")
+    for least in (provenance.SIMILAR, provenance.PLAIN_SIMILAR, provenance.SIBLING_SIMILAR):
+        assert pairs.where(provenance.near_enough("a", "b", least) != (pairs["jaccard"] >= least)).count() == 0
