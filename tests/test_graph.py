@@ -1,14 +1,17 @@
 """Graph operators on small rows."""
 
 import datetime as dt
+import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as fn
-from codeloom.operators import analyze, build, enrich, filters, serve, traverse
+from codeloom.operators import analyze, build, enrich, filters, serve, settle, traverse
 from codeloom.operators.components import connected_components
 
 NODE = "id string, label string, type string, source_file string, line int, project string, framework string, implements array<string>, extends array<string>, first_seen_at timestamp_ntz"
@@ -150,3 +153,63 @@ def test_louvain_raises_rather_than_stop_early(make):
     e = build.collapse_edges(make([edge(a, b, n=i) for i, (a, b) in enumerate([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")])], EDGE))
     with pytest.raises(RuntimeError, match="settle"):
         traverse.louvain(e, 1, 1)
+
+
+def tangled(n, m, seed):
+    rng = random.Random(seed)
+    return sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)})
+
+
+def gains(pairs, groups, moves):
+    """The greatest change of the modularity, times 4 m * m, by one of ``moves``: a set of nodes and the group it joins."""
+    m, k = len(pairs), Counter(x for p in pairs for x in p)
+
+    def quality(g):
+        weight = Counter()
+        for x in k:
+            weight[g[x]] += k[x]
+        return 4 * m * sum(g[a] == g[b] for a, b in pairs) - sum(w * w for w in weight.values())
+
+    return max(quality({**groups, **dict.fromkeys(nodes, to)}) - quality(groups) for nodes, to in moves)
+
+
+def test_louvain_jobs_do_not_grow_with_its_moves(spark, make):
+    pairs = tangled(150, 600, 3)
+    e = make([(f"n{a:03}", f"n{b:03}") for a, b in pairs], "source string, target string")
+    spark.sparkContext.setJobGroup("louvain", "")
+    groups = {int(r["id"][1:]): int(r["community"][1:]) for r in traverse.louvain(e).collect()}
+    n_jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("louvain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert n_jobs < 60
+    assert groups.keys() == {x for p in pairs for x in p} and all(c == min(x for x in groups if groups[x] == c) for c in groups.values())
+    names = sorted(set(groups.values()))
+    assert gains(pairs, groups, [({x}, c) for x in groups for c in names]) <= 0
+    assert gains(pairs, groups, [({x for x in groups if groups[x] == a}, c) for a in names for c in names]) <= 0
+
+
+def test_louvain_spread_over_blocks(monkeypatch, make):
+    pairs = tangled(24, 50, 4)
+    monkeypatch.setattr(traverse, "ONE_TASK", 20)
+    e = make([(f"n{a:02}", f"n{b:02}") for a, b in pairs], "source string, target string")
+    groups = {int(r["id"][1:]): int(r["community"][1:]) for r in traverse.louvain(e).collect()}
+    assert groups.keys() == {x for p in pairs for x in p}
+    names = sorted(set(groups.values()))
+    assert len(names) < 12 and gains(pairs, groups, [({x for x in groups if groups[x] == a}, c) for a in names for c in names]) <= 0
+
+
+def test_merged_links():
+    pairs, group = tangled(30, 200, 5), np.arange(30) % 4
+    weight = {p: i + 1 for i, p in enumerate(pairs)}
+    both = sorted([(a, b, w) for (a, b), w in weight.items()] + [(b, a, w) for (a, b), w in weight.items()])
+    start = np.concatenate([[0], np.cumsum(np.bincount([a for a, _, _ in both], minlength=30))])
+    links = settle.Links(start, np.array([b for _, b, _ in both], dtype=np.int32), np.array([w for *_, w in both]), np.arange(30))
+    merged = links.merged(group, 4)
+    got = {(u, int(v)): int(w) for u in range(4) for v, w in zip(merged.near[merged.start[u] : merged.start[u + 1]], merged.weights[merged.start[u] : merged.start[u + 1]], strict=True)}
+    expected = Counter()
+    for (a, b), w in weight.items():
+        if group[a] != group[b]:
+            expected[group[a], group[b]] += w
+            expected[group[b], group[a]] += w
+    assert got == expected
+    assert merged.own.tolist() == [sum(w for (a, b), w in weight.items() if group[a] == group[b] == c) + sum(x for x in range(30) if group[x] == c) for c in range(4)]
+    assert merged.strength().sum() == links.strength().sum() == 2 * (sum(weight.values()) + sum(range(30)))
